@@ -5,6 +5,8 @@
 2. All shingles have one global order: by a count of how often they repeat within the scanned
    pieces (frequent ones last), then by hash. Linked sets share a shingle among the first
    n - ceil(0.8 n) + 1 of each, whatever the order, so the order decides speed, never results.
+   Prefixes are a little longer still, so linked sets share a number of their shingles; documents
+   with fewer shared ones drop out.
 3. The documents that share such a shingle form a block under the smallest doc_id among them.
    Blocks beyond ``SUB`` documents are cut into sub-blocks, and a few documents of the block, the
    pivots, are compared with every sub-block.
@@ -36,6 +38,8 @@ K = 5
 #: Links need NUM * intersection >= DEN * (sum of both sizes), which is intersection >= 0.8 * union.
 NUM, DEN = 9, 4
 SUB, PIVOTS = 256, 12
+#: Prefixes are longer by n / MORE shingles; linked sets then share 0.8 * n / MORE - 1 of them at least.
+MORE = 20
 #: Shingles counted together; those that repeat at least HOT times in total are ordered by their count.
 PIECE_SHINGLES, HOT, HOT_ROWS = 4_000_000, 32, 1_000_000
 
@@ -111,12 +115,12 @@ def _prefixes(docs: DataFrame, order) -> DataFrame:
                 rank = np.where(hot[where] == made, count[where], 0) if len(hot) else np.zeros(len(made), np.int64)
                 by = np.lexsort((made, rank, doc))
                 place = np.arange(len(made)) - np.repeat(bounds[:-1], n)
-                need = np.repeat(n - (4 * n + 4) // 5 + 1, n)
+                need = np.repeat(n - (4 * n + 4) // 5 + 1 + n // MORE, n)
                 pick = by[place < need]
                 ids = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.record_batch({"shingle": pa.array(made[pick].view(np.int64)), "doc_id": pa.array(ids[doc[pick]])})
+                yield pa.record_batch({"shingle": pa.array(made[pick].view(np.int64)), "doc_id": pa.array(ids[doc[pick]]), "n": pa.array(n[doc[pick]].astype(np.int32))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "shingle long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "shingle long, doc_id long, n int")
 
 
 class Trie:
@@ -266,7 +270,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     order = spark.sparkContext.broadcast(_order(spark, repeats))
     prefixes = materialize(_prefixes(ours, order), "join-prefixes")
     leaders = materialize(prefixes.groupBy("shingle").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last").select("shingle", "leader"), "join-leaders")
-    members = materialize(prefixes.join(leaders, "shingle").select("leader", "doc_id").distinct(), "join-members")
+    hits = materialize(prefixes.join(leaders, "shingle").groupBy("leader", "doc_id").agg(F.count(F.lit(1)).alias("hits"), F.max("n").alias("n")), "join-hits")
+    able = hits.groupBy("doc_id").agg(F.sum("hits").alias("hits"), F.max("n").alias("n")).filter(F.col("hits") >= F.floor(F.col("n") / MORE) * 0.8 - 1)
+    able = materialize(able.select("doc_id"), "join-able")
+    members = materialize(hits.join(small(able, 8), "doc_id", "left_semi").select("leader", "doc_id"), "join-members")
+    alone = members.groupBy("leader").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("two")).filter("one = two").select("leader")
+    members = materialize(members.join(small(materialize(alone, "join-alone"), 8), "leader", "left_anti"), "join-members")
     release(prefixes)
     release(leaders)
 

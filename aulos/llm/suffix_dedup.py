@@ -4,13 +4,15 @@
 2. Each 400-byte window has one anchor, the GRAM bytes in it with the least hash (then leftmost),
    so equal windows have equal anchors. Windows whose anchor stands nowhere else are unique; the
    rest are shipped as contexts (the bytes of a run of windows with one anchor) to the shard that
-   owns the anchor.
+   owns the anchor. A window also holds SIDE bytes before or after its anchor; contexts whose sides
+   stand nowhere else under their anchor hold no repeated window and are not sorted.
 3. A shard concatenates its contexts and builds their suffix array by Larsson-Sadakane refinement:
    ranks by the first eight bytes, then doubling, re-sorting only the groups that still tie. Common
    prefixes follow Kasai's bound (a suffix shares at least one byte less than its predecessor in
    the text), taken in halving strides so that each step is one vector operation. Runs of
    suffixes that share 400 bytes are the repeated windows.
-4. Anchors with more than ``HOT`` occurrences are dealt over several shards, which are then merged:
+4. Anchors with more than ``HOT`` occurrences are split by the bytes beside them; those that are hot
+   even so are dealt over several shards, which are then merged:
    each shard's sorted distinct window digests are looked up in the others' by binary search.
 5. Removed bytes are the union of the repeated windows, judged on the input.
 
@@ -33,6 +35,8 @@ from aulos.llm import textbytes as tb
 from aulos.llm.shared import materialize, release, small, text_or_empty
 
 LENGTH, GRAM = 400, 64
+#: A window holds this many bytes before its anchor or this many after it.
+SIDE = (LENGTH - GRAM) // 2
 #: Occurrences of an anchor that one shard takes, bytes of contexts that one suffix array takes.
 HOT, SHARD_BYTES = 512, 3 << 20
 SLICE, POSITION_BITS = 2 << 20, 22
@@ -54,8 +58,9 @@ def _least(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, anchor hash): runs of windows of each text with one anchor."""
-    out = [[], [], [], []]
+    """(text, first window, windows, anchor's place in it, hashes of the anchor and of it with SIDE bytes
+    before and after it): runs of windows of each text with one anchor."""
+    out = [[] for _ in range(7)]
     for lo in range(0, max(len(data) - LENGTH + 1, 0), SLICE):
         part = data[lo : lo + SLICE + LENGTH - 1]
         if len(part) < LENGTH:
@@ -76,7 +81,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         new = np.ones(len(start), bool)
         new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1) | (text[1:] != text[:-1])
         first = np.flatnonzero(new)
-        for x, y in zip(out, (text[first], start[first] - offsets[text[first]], np.diff(np.append(first, len(start))), grams[at[first]]), strict=True):
+        mine, pos = start[first], at[first]
+        span = lambda a, b: tb.mix64((sums[b] - sums[a]) * down[a])
+        before, after = span(np.maximum(pos - SIDE, 0), pos + GRAM), span(pos, np.minimum(pos + GRAM + SIDE, len(part)))
+        for x, y in zip(out, (text[first], mine - offsets[text[first]], np.diff(np.append(first, len(start))), pos + lo - mine, grams[pos], before, after), strict=True):
             x.append(y)
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
@@ -85,10 +93,11 @@ def _anchor_table(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for rows, data, offsets in tb.pieces(batch):
-                text, lo, n, h = anchors(data, offsets)
-                yield pa.record_batch({"key": rows.column(0).take(pa.array(text)), "lo": pa.array(lo.astype(np.int64)), "n": pa.array(n.astype(np.int32)), "anchor": pa.array(h.astype(np.uint64).view(np.int64))})
+                text, lo, n, at, *hashes = anchors(data, offsets)
+                made = {"key": rows.column(0).take(pa.array(text)), "lo": pa.array(lo.astype(np.int64)), "n": pa.array(n.astype(np.int32)), "at": pa.array(at.astype(np.int32))}
+                yield pa.record_batch(made | {c: pa.array(h.astype(np.uint64).view(np.int64)) for c, h in zip(("anchor", "before", "after"), hashes, strict=True)})
 
-    return texts.select("key", "text").mapInArrow(run, "key string, lo long, n int, anchor long")
+    return texts.select("key", "text").mapInArrow(run, "key string, lo long, n int, at int, anchor long, before long, after long")
 
 
 # ---- suffix arrays ------------------------------------------------------------------------------
@@ -201,19 +210,18 @@ def _contexts(texts: DataFrame, spots: DataFrame) -> DataFrame:
                 for s in places:
                     piece = raw[s["lo"] : s["lo"] + s["n"] + LENGTH - 1]
                     mine = (s["anchor"], s["part"], piece)
-                    if mine in held:
+                    if mine in held:  # repeated wherever it stands: copies -1 says so
                         held[mine][2] += 1
-                        rest.append((s["anchor"], s["part"], 0, key, s["lo"], s["n"], piece if held[mine][2] == 2 else b""))
+                        rest.append((s["anchor"], s["part"], -1, key, s["lo"], s["n"], s["at"], b""))
                     else:
-                        held[mine] = [s["anchor"], s["part"], 1, key, s["lo"], s["n"], piece]
-            # a context that this batch holds twice is repeated wherever it stands: copies says so
-            rows = [*held.values(), *((*r[:2], -1, *r[3:6], b"") for r in rest)]
+                        held[mine] = [s["anchor"], s["part"], 1, key, s["lo"], s["n"], s["at"], piece]
+            rows = [*held.values(), *rest]
             for i in range(0, len(rows), 4000):
                 columns = list(zip(*rows[i : i + 4000], strict=True))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
-                                      names=["anchor", "part", "copies", "key", "lo", "n", "bytes"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
+                                      names=["anchor", "part", "copies", "key", "lo", "n", "at", "bytes"])
 
-    return texts.join(small(spots, 400), "key").select("key", "text", "spots").mapInArrow(run, "anchor long, part int, copies int, key string, lo long, n int, bytes binary")
+    return texts.join(small(spots, 400), "key").select("key", "text", "spots").mapInArrow(run, "anchor long, part int, copies int, key string, lo long, n int, at int, bytes binary")
 
 
 def _runs(again: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -221,6 +229,27 @@ def _runs(again: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True)
 
 
+def _screened(classes: dict) -> list:
+    """The classes of contexts that can hold a repeated window.
+
+    A window holds SIDE bytes before or after its anchor, so a context none of whose sides stands
+    twice under its anchor has none. Parts of hot anchors see only some contexts and keep them all.
+    """
+    sides: dict = {}
+    both = []
+    for (anchor, part, piece), members in classes.items():
+        n, at, weight = members[0][5], members[0][6], sum(r[2] for r in members)
+        own = []
+        if at >= SIDE:
+            own.append((anchor, 0, piece[at - SIDE : at + GRAM]))
+        if at - (n - 1) <= SIDE:
+            own.append((anchor, 1, piece[at : at + GRAM + SIDE]))
+        for s in own:
+            sides[s] = sides.get(s, 0) + weight
+        both.append((((anchor, part, piece), members), own))
+    return [c for c, own in both if c[0][1] >= 0 or any(sides[s] > 1 for s in own)]
+
+
 def _solve(dealt: DataFrame) -> DataFrame:
     """key, lo, hi of repeated bytes; or, with part >= 0, windows still to be merged (digests, places)."""
 
@@ -231,9 +260,9 @@ def _solve(dealt: DataFrame) -> DataFrame:
             found, open_, seen = [], [], set()
             classes: dict = {}
             for r in rows:
-                classes.setdefault((r[0], r[1], r[6]), []).append(r)
-            groups = list(classes.items())
-            marks = judge([k[2] for k, _ in groups], np.array([v[0][5] for _, v in groups]), np.array([sum(r[2] for r in v) for _, v in groups]))
+                classes.setdefault((r[0], r[1], r[7]), []).append(r)
+            groups = _screened(classes)
+            marks = judge([k[2] for k, _ in groups], np.array([v[0][5] for _, v in groups]), np.array([sum(r[2] for r in v) for _, v in groups])) if groups else []
             for ((anchor, part, piece), members), again in zip(groups, marks, strict=True):
                 for a, b in _runs(again):
                     found += [(m[3], m[4] + a, m[4] + b + LENGTH - 1) for m in members]
@@ -272,7 +301,7 @@ def _solve(dealt: DataFrame) -> DataFrame:
                     continue
                 last = (r[0], r[1])
                 rows.append(r)
-                held += len(r[6])
+                held += len(r[7])
         if rows:
             yield from out(*shard())
 
@@ -313,10 +342,19 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """key, spans array<struct<lo, hi>> for distinct texts (key, text) that hold repeated windows."""
     found = materialize(_anchor_table(texts), "suffix-anchors")
     counts = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "suffix-counts")
-    parts = F.ceil(F.col("rows") / HOT).cast("int")
-    part = F.when(F.col("rows") <= HOT, F.lit(-1)).otherwise(F.pmod(F.xxhash64("key", "lo"), parts).cast("int"))
-    shared = found.join(counts, "anchor").select("key", F.struct("lo", "n", "anchor", part.alias("part")).alias("spot"))
-    spots = materialize(shared.groupBy("key").agg(F.collect_list("spot").alias("spots")), "suffix-spots")
+    shared = found.join(counts, "anchor")
+    cool = shared.filter(F.col("rows") <= HOT).select("key", "lo", "n", "at", "anchor", F.lit(-1).alias("part"))
+    # a hot anchor is split by the bytes beside it: windows with SIDE bytes before it, and the others
+    left = F.greatest(F.lit(0), F.least("n", F.col("at") - (SIDE - 1)))
+    sides = F.array(
+        F.struct("lo", left.alias("n"), "at", F.xxhash64("anchor", F.lit(0), "before").alias("anchor")),
+        F.struct((F.col("lo") + left).alias("lo"), (F.col("n") - left).alias("n"), (F.col("at") - left).alias("at"), F.xxhash64("anchor", F.lit(1), "after").alias("anchor")))
+    hot = materialize(shared.filter(F.col("rows") > HOT).select("key", F.explode(sides).alias("s")).select("key", "s.*").filter("n > 0"), "suffix-hot")
+    again = materialize(hot.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "suffix-hot-counts")
+    part = F.when(F.col("rows") <= HOT, F.lit(-1)).otherwise(F.pmod(F.xxhash64("key", "lo"), F.ceil(F.col("rows") / HOT)).cast("int"))
+    hot = hot.join(again, "anchor").select("key", "lo", "n", "at", "anchor", part.alias("part"))
+    spots = cool.unionByName(hot).groupBy("key").agg(F.collect_list(F.struct("lo", "n", "at", "anchor", "part")).alias("spots"))
+    spots = materialize(spots, "suffix-spots")
     release(found)
     dealt = _contexts(texts, spots).repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     solved = materialize(_solve(dealt), "suffix-solved")

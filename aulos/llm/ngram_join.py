@@ -41,7 +41,7 @@ SUB, PIVOTS = 256, 12
 #: Prefixes are longer by n / MORE shingles; linked sets then share 0.8 * n / MORE - 1 of them at least.
 MORE = 20
 #: Shingles counted together; those that repeat at least HOT times in total are ordered by their count.
-PIECE_SHINGLES, HOT, HOT_ROWS = 4_000_000, 32, 1_000_000
+PIECE_SHINGLES, HOT, HOT_ROWS = 4_000_000, 2, 1_000_000
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

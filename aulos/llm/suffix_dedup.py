@@ -229,8 +229,8 @@ def _runs(again: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True)
 
 
-def _screened(classes: dict) -> list:
-    """The classes of contexts that can hold a repeated window.
+def _screened(classes: dict) -> tuple[list, list]:
+    """The classes of contexts to sort, and the members of classes that are repeated as they stand.
 
     A window holds SIDE bytes before or after its anchor, so a context none of whose sides stands
     twice under its anchor has none. Parts of hot anchors see only some contexts and keep them all.
@@ -247,7 +247,13 @@ def _screened(classes: dict) -> list:
         for s in own:
             sides[s] = sides.get(s, 0) + weight
         both.append((((anchor, part, piece), members), own))
-    return [c for c, own in both if c[0][1] >= 0 or any(sides[s] > 1 for s in own)]
+    kept = [c for c, own in both if c[0][1] >= 0 or any(sides[s] > 1 for s in own)]
+    classes_of: dict = {}
+    for c in kept:
+        classes_of[c[0][0]] = classes_of.get(c[0][0], 0) + 1
+    alone = lambda c: c[0][1] < 0 and classes_of[c[0][0]] == 1
+    same = [m for c in kept if alone(c) and sum(r[2] for r in c[1]) > 1 for m in c[1]]
+    return [c for c in kept if not alone(c)], same
 
 
 def _solve(dealt: DataFrame) -> DataFrame:
@@ -261,16 +267,18 @@ def _solve(dealt: DataFrame) -> DataFrame:
             classes: dict = {}
             for r in rows:
                 classes.setdefault((r[0], r[1], r[7]), []).append(r)
-            groups = _screened(classes)
+            groups, same = _screened(classes)
+            found += [(m[3], m[4], m[4] + m[5] + LENGTH - 1) for m in same]
             marks = judge([k[2] for k, _ in groups], np.array([v[0][5] for _, v in groups]), np.array([sum(r[2] for r in v) for _, v in groups])) if groups else []
             for ((anchor, part, piece), members), again in zip(groups, marks, strict=True):
                 for a, b in _runs(again):
                     found += [(m[3], m[4] + a, m[4] + b + LENGTH - 1) for m in members]
-                for w in range(len(again) if part >= 0 else 0):  # other shards may hold each of them too
-                    digest = int.from_bytes(hashlib.blake2b(piece[w : w + LENGTH], digest_size=8).digest(), "little")
-                    if (digest, part) not in seen:
-                        seen.add((digest, part))
-                        open_.append((digest, part, members[0][3], members[0][4] + w))
+                if part >= 0:  # other shards may hold each of its windows too
+                    w = np.arange(len(again))
+                    for digest, start in zip(tb.span_hashes(np.frombuffer(piece, np.uint8), w, w + LENGTH).tolist(), w.tolist(), strict=True):
+                        if (digest, part) not in seen:
+                            seen.add((digest, part))
+                            open_.append((digest, part, members[0][3], members[0][4] + start))
             rows.clear()
             return found, open_
 
@@ -342,7 +350,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """key, spans array<struct<lo, hi>> for distinct texts (key, text) that hold repeated windows."""
     found = materialize(_anchor_table(texts), "suffix-anchors")
     counts = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "suffix-counts")
-    shared = found.join(counts, "anchor")
+    shared = found.join(small(counts, 16), "anchor")
     cool = shared.filter(F.col("rows") <= HOT).select("key", "lo", "n", "at", "anchor", F.lit(-1).alias("part"))
     # a hot anchor is split by the bytes beside it: windows with SIDE bytes before it, and the others
     left = F.greatest(F.lit(0), F.least("n", F.col("at") - (SIDE - 1)))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aulos.llm.shared import materialize
+from aulos.llm.shared import fresh, materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Weights given to the sources in order, repeating.
@@ -117,9 +117,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
 
 def mix_stage(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, with the number of copies of each."""
-    made = mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies").distinct()
-    return docs.join(made, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source"))).select(
-        *[docs[c] for c in docs.columns if c != "copies"], "copies")
+    doc, source, copies = fresh(docs, "_doc", "_source", "_copies")
+    made = mix(docs).filter("copies > 0").select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("copies").alias(copies)).distinct()
+    joined = docs.join(made, F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)))
+    return joined.select(*[c for c in docs.columns if c != "copies"], F.col(copies).alias("copies"))
 
 
 ORACLE = r"""

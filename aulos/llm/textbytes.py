@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes worked on at once; a longer single text is worked on alone.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}

@@ -25,6 +25,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held:
     picked = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label")).orderBy(F.xxhash64("doc_id")).limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").toPandas().sort_values("doc_id", kind="stable")
     found = found.drop_duplicates("doc_id")
+    pa.default_memory_pool().release_unused()
     return found["text"].fillna("").tolist(), found["_label"].to_numpy()
 
 

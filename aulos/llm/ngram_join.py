@@ -269,6 +269,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     repeats = materialize(_repeats(ours), "join-repeats")
     order = spark.sparkContext.broadcast(_order(spark, repeats))
     prefixes = materialize(_prefixes(ours, order), "join-prefixes")
+    order.destroy()
     leaders = materialize(prefixes.groupBy("shingle").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last").select("shingle", "leader"), "join-leaders")
     hits = materialize(prefixes.join(leaders, "shingle").groupBy("leader", "doc_id").agg(F.count(F.lit(1)).alias("hits"), F.max("n").alias("n")), "join-hits")
     able = hits.groupBy("doc_id").agg(F.sum("hits").alias("hits"), F.max("n").alias("n")).filter(F.col("hits") >= F.floor(F.col("n") / MORE) * 0.8 - 1)
@@ -303,7 +304,6 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     roots = materialize(connected_components(links, "join-cc"), "join-roots")
     classes = materialize(classes.join(roots, classes["rep"] == roots["node"], "left").select("digest", F.coalesce("root", "rep").alias("component_id")), "join-labelled")
-    order.unpersist()
     return prints.join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from aulos.operators import spectrum
+from aulos.operators import separation, spectrum
 from aulos.plans.registry import register
 from aulos.tables import table
 
@@ -59,6 +59,10 @@ def estimate_tempo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("track_id", F.round("bpm", 4).alias("bpm"), F.round("confidence", 5).alias("confidence"))
 
 
+def hpss_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separation.harmonic_ratio(separation.hpss(_frames(spark, sf_dir))).select("track_id", F.round("ratio", 5).alias("ratio"))
+
+
 _SPECTRA = """with x as (select cast(label as bigint) as track_id, (row_number() over (partition by label order by vec_id) - 1) * 64 as base, embedding from embeddings),
 s as (select track_id, base + i - 1 as pos, cast(embedding[i] as double) as v from x, (select unnest(range(1, 65)) as i) r),
 n as (select track_id, count(*) as total from s group by track_id),
@@ -88,3 +92,4 @@ register("stft_contrast", _vector("contrast"))
 register("stft_mel", _vector("mel"))
 register("stft_mfcc", stft_mfcc)
 register("estimate_tempo", estimate_tempo)
+register("hpss_ratio", hpss_ratio)

@@ -22,8 +22,8 @@ PHASES = [
 DEFAULT_RANGE, AROUND = (122.0, 135.0), (-8.0, 6.0)
 #: Weights of key, artist, rating, tempo and preferred key.
 WEIGHTS = (0.35, 0.20, 0.15, 0.15, 0.15)
-#: Score of a key distance of 0, 1, 2, 3; beyond.
-KEY_SCORES, KEY_FAR = (1.0, 0.9, 0.6, 0.3), 0.1
+#: Score of 0, 1, 2, 3 or more steps on the wheel of keys, in the same and in the other mode.
+SAME_MODE, OTHER_MODE = (0.7, 1.0, 0.5, 0.2), (0.95, 0.85, 0.4, 0.2)
 #: Score of a BPM difference up to each bound; beyond.
 BPM_BOUNDS, BPM_SCORES = (2.0, 4.0, 6.0), (1.0, 0.8, 0.5, 0.2)
 TRACK = ("id", "bpm", "num", "letter", "artist", "rating", "duration")
@@ -36,10 +36,11 @@ def phase_ranges(dominant: float | None) -> list[tuple[str, float, float, float]
     return [(name, base[a] + da, base[b] + db, share) for name, (a, da), (b, db), share in PHASES]
 
 
-def key_distance(num, letter, other_num, other_letter):
-    """Steps on the wheel of twelve keys; a change of mode is one more, but for the same number just one."""
-    steps = np.abs(num - other_num)
-    return np.minimum(steps, 12 - steps) + (letter != other_letter)
+def key_score(num, letter, other_num, other_letter):
+    """How well a key follows another: a neighbour is best, staying is fair."""
+    apart = np.abs(num - other_num)
+    steps = np.minimum(np.minimum(apart, 12 - apart), 3)
+    return np.where(letter == other_letter, np.array(SAME_MODE)[steps], np.array(OTHER_MODE)[steps])
 
 
 class _Pool:
@@ -57,7 +58,7 @@ class _Pool:
         return (self.bpm > 0) & np.any([(self.bpm * x >= low) & (self.bpm * x <= high) for x in (1.0, 2.0, 0.5)], axis=0)
 
     def scores(self, last: int) -> np.ndarray:
-        key = np.array([*KEY_SCORES, KEY_FAR])[np.minimum(key_distance(self.num[last], self.letter[last], self.num, self.letter), len(KEY_SCORES))]
+        key = key_score(self.num[last], self.letter[last], self.num, self.letter)
         artist = np.where(self.artist == self.artist[last], 0.0, np.where(self.heard, 0.5, 1.0))
         rating = np.where(self.rating > 0, self.rating / 5.0, 0.5)
         tempo = np.array(BPM_SCORES)[np.searchsorted(BPM_BOUNDS, np.abs(self.bpm - self.bpm[last]))]

@@ -32,13 +32,25 @@ JOBS = """(select event_id as job_id, user_id, event_type, ts, value, case when
   when event_type = 'signup' then 'in_progress' else 'queued' end as state, cast(event_id % 5 as bigint) as tries from events)"""
 
 _KEY = "(case when a.num = b.num and a.letter = b.letter then 0 when a.num = b.num then 1 else least(abs(a.num - b.num), 12 - abs(a.num - b.num)) + case when a.letter = b.letter then 0 else 1 end end)"
-_BPM = "(least(abs(a.bpm - b.bpm), abs(2 * a.bpm - b.bpm), abs(a.bpm - 2 * b.bpm)) / least(a.bpm, b.bpm) * 1E2)"
+_BPM = "(least(abs(a.bpm - b.bpm) / least(a.bpm, b.bpm), abs(a.bpm - 2 * b.bpm) / a.bpm, abs(2 * a.bpm - b.bpm) / (2 * a.bpm)) * 1E2)"
 _H = f"(case {_KEY} when 0 then 1E0 when 1 then 9E-1 when 2 then 6E-1 when 3 then 3E-1 else 1E-1 end)"
 _B = f"(case when {_BPM} <= 2E0 then 1E0 when {_BPM} <= 6E0 then 8E-1 when {_BPM} <= 9E0 then 5E-1 else 2E-1 end)"
 _S = "greatest(0E0, 1E0 - abs(a.centroid - b.centroid) / 2E3)"
 _G = "(case when a.genre = b.genre then 1E0 else 4E-1 end)"
-_E = "(case when b.intro - a.outro between 0E0 and 1.5E-1 then 1E0 when abs(b.intro - a.outro) <= 2E-1 then 8E-1 when abs(b.intro - a.outro) <= 4E-1 then 5E-1 else 2E-1 end)"
-_PAIRS = "{tracks} a join {tracks} b on a.id <> b.id and floor(a.bpm / 1E1) = floor(b.bpm / 1E1) and a.id % 40 = b.id % 40"
+_E = "(case when b.intro - a.outro between 0E0 and 1.5E-1 then 1E0 when abs(b.intro - a.outro) <= 2E-1 then 9E-1 when abs(b.intro - a.outro) <= 3E-1 then 7E-1 when abs(b.intro - a.outro) <= 5E-1 then 4E-1 else 2E-1 end)"
+# key moves that keep a set going: a neighbour, the relative mode and a diagonal come before staying
+_STEP = "least(abs(a.num - b.num), 12 - abs(a.num - b.num))"
+_MOVE = f"(case when a.num = b.num and a.letter = b.letter then 7E-1 when a.letter = b.letter and {_STEP} = 1 then 1E0 when a.num = b.num then 9.5E-1 when {_STEP} = 1 then 8.5E-1 when {_STEP} = 2 and a.letter = b.letter then 5E-1 when {_STEP} = 2 then 4E-1 else 2E-1 end)"
+_GAP = "(case when abs(a.bpm - b.bpm) <= 2E0 then 1E0 when abs(a.bpm - b.bpm) <= 4E0 then 8E-1 when abs(a.bpm - b.bpm) <= 6E0 then 5E-1 else 2E-1 end)"
+_NEXT = f"(3.5E-1 * {_MOVE} + 2E-1 * (case when a.artist = b.artist then 0E0 else 1E0 end) + 1.5E-1 * (case when b.rating > 0 then b.rating / 5E0 else 5E-1 end) + 1.5E-1 * {_GAP} + 7.5E-2)"
+_PAIRS = "{tracks} a join {tracks} b on a.id <> b.id and floor(a.bpm) = floor(b.bpm)"
+
+# fixed values: weights of the twelve semitones above the tonic of a major and a minor key
+_MAJOR = "(0, 6.35E0), (1, 2.23E0), (2, 3.48E0), (3, 2.33E0), (4, 4.38E0), (5, 4.09E0), (6, 2.52E0), (7, 5.19E0), (8, 2.39E0), (9, 3.66E0), (10, 2.29E0), (11, 2.88E0)"
+_MINOR = "(0, 6.33E0), (1, 2.68E0), (2, 3.52E0), (3, 5.38E0), (4, 2.6E0), (5, 3.53E0), (6, 2.54E0), (7, 4.75E0), (8, 3.98E0), (9, 2.69E0), (10, 3.34E0), (11, 3.17E0)"
+_PC = "cast(round((12 * log2(f / 4.4E2) + 69) % 12) as bigint) % 12"
+_CHROMA = f"(select vec_id, track_id, pc, e / (sqrt(sum(e * e) over (partition by vec_id)) + 1E-10) as c from (select vec_id, track_id, {_PC} as pc, sum(s * s) as e from {{bins}} t where f > 0 group by vec_id, track_id, {_PC}) u)"
+_SECONDS = "cast(floor(l_extendedprice / 1E1) as bigint)"
 
 QUERIES = {
     # energy curves
@@ -116,7 +128,8 @@ QUERIES = {
     "score_energy_flow": "select a.id as a, b.id as b, " + _E + " as score from " + _PAIRS,
     "transition_score": "select a.id as a, b.id as b, round((3E-1 * " + _H + " + 2.5E-1 * " + _E + " + 2E-1 + 1.5E-1 * " + _S + " + 1E-1 * " + _G + ") * (5E-1 + 5E-1 * " + _B + "), 9) as total from " + _PAIRS,
     "transition_quality": "select quality, count(*) as pairs from (select case when total >= 8E-1 then 'Excellent' when total >= 6E-1 then 'Good' when total >= 4E-1 then 'Fair' else 'Poor' end as quality from (select round((3E-1 * " + _H + " + 2.5E-1 * " + _E + " + 2E-1 + 1.5E-1 * " + _S + " + 1E-1 * " + _G + ") * (5E-1 + 5E-1 * " + _B + "), 9) as total from " + _PAIRS + ") u) w group by quality",
-    "best_next_tracks": "select a, b, rnk, total from (select a, b, total, row_number() over (partition by a order by total desc, b) as rnk from (select a.id as a, b.id as b, round(3.5E-1 * " + _H + " + 2E-1 * " + _B + " + 1.5E-1 * " + _G + ", 6) as total from " + _PAIRS + ") u) w where rnk <= 5",
+    "key_progression": "select a.id as a, b.id as b, " + _MOVE + " as score from " + _PAIRS,
+    "best_next_tracks": "select a, b, rnk, total from (select a, b, total, row_number() over (partition by a order by total desc, b) as rnk from (select a.id as a, b.id as b, round(" + _NEXT + ", 6) as total from " + _PAIRS + ") u) w where rnk <= 5",
     # planning
     "filter_tracks_for_phase": "select p.name as phase, t.id from (select 'intro' as name, 1.0E2 as lo, 1.15E2 as hi union all select 'build', 1.15E2, 1.25E2 union all select 'peak', 1.25E2, 1.35E2 union all select 'outro', 1.1E2, 1.2E2) p join {tracks} t on t.bpm > 0 and (t.bpm between p.lo and p.hi or 2 * t.bpm between p.lo and p.hi or t.bpm / 2 between p.lo and p.hi)",
     "weak_transitions": "select set_id, pos, round(score, 6) as score from (select o.l_orderkey as set_id, cast(o.l_linenumber as bigint) as pos, 1E0 - abs(o.l_discount - lag(o.l_discount) over (partition by o.l_orderkey order by o.l_linenumber, o.l_partkey, o.l_suppkey)) * 1E1 as score from lineitem o) u where score < 6E-1",
@@ -150,6 +163,15 @@ QUERIES = {
     "truncate_for_display": "select doc_id, case when length(text) <= 100 then text else concat(substr(text, 1, 97), '... (', cast(length(text) as varchar(12)), ' chars)') end as shown from documents",
     "url_host": "select page_id, regexp_extract(url, 'https?://([^/?#]+)', 1) as host from pages",
     "urls_in_text": "select doc_id, length(text) - length(replace(text, 'http', 'ttp')) as n_urls from documents where text like '%http%'",
+    # keys and timbre over time
+    "detect_key": "select track_id, tonic, mode, round(greatest(r, 0E0), 5) as confidence from (select track_id, tonic, mode, r, row_number() over (partition by track_id order by r desc, mode, tonic) as rnk from (select c.track_id, (c.pc - w.i + 12) % 12 as tonic, w.mode, round(corr(c.m, w.x), 9) as r from (select track_id, pc, avg(c) as m from " + _CHROMA + " v group by track_id, pc) c join (select i, x, 'major' as mode from (values " + _MAJOR + ") p(i, x) union all select i, x, 'minor' from (values " + _MINOR + ") q(i, x)) w on true group by c.track_id, (c.pc - w.i + 12) % 12, w.mode) u) z where rnk = 1",
+    "chroma_novelty": "select vec_id, round(d / (max(d) over (partition by track_id) + 1E-10), 5) as novelty from (select vec_id, track_id, sqrt(sum(power(coalesce(c - p, 0E0), 2))) as d from (select vec_id, track_id, c, lag(c) over (partition by track_id, pc order by vec_id) as p from " + _CHROMA + " v) u group by vec_id, track_id) w",
+    "timbral_novelty": "select vec_id, round(3E-1 * s / greatest(max(s) over (partition by track_id), 1E-300) + 7E-1 * l / greatest(max(l) over (partition by track_id), 1E-300), 5) as novelty from (select vec_id, track_id, sqrt(sum(power(coalesce(v - p, 0E0), 2))) as s, sqrt(sum(case when frame >= 8 then power(near - far, 2) else 0E0 end)) as l from (select vec_id, track_id, v, lag(v) over (partition by track_id, k order by vec_id) as p, row_number() over (partition by track_id, k order by vec_id) - 1 as frame, avg(v) over (partition by track_id, k order by vec_id rows between 4 preceding and 1 preceding) as near, avg(v) over (partition by track_id, k order by vec_id rows between 8 preceding and 5 preceding) as far from {bins} t) u group by vec_id, track_id) w",
+    "hz_to_mel": "select vec_id, k, round(case when f < 1E3 then f * 3 / 2E2 else 1.5E1 + ln(f / 1E3) * 27 / ln(6.4E0) end, 6) as mel from {bins} t",
+    "stuck_jobs": "select j.job_id, j.user_id from {jobs} j join (select max(ts) as latest from events) m on j.state = 'in_progress' and j.ts < m.latest - interval '30' minute",
+    "format_duration": "select l_orderkey, l_linenumber, l_partkey, case when t < 60 then concat(cast(t as varchar(12)), 's') when t < 3600 then concat(cast(cast(floor(t / 60) as bigint) as varchar(12)), 'm', case when t % 60 > 0 then concat(' ', cast(t % 60 as varchar(12)), 's') else '' end) else concat(cast(cast(floor(t / 3600) as bigint) as varchar(12)), 'h', case when floor(t / 60) % 60 > 0 then concat(' ', cast(cast(floor(t / 60) % 60 as bigint) as varchar(12)), 'm') else '' end, case when t % 60 > 0 then concat(' ', cast(t % 60 as varchar(12)), 's') else '' end) end as shown from (select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, l_partkey, " + _SECONDS + " as t from lineitem) u",
+    "truncate_for_metrics": "select doc_id, case when length(text) <= 500 then text else concat(substr(text, 1, 500), '... (truncated from ', cast(length(text) as varchar(12)), ' chars)') end as stored from documents",
+    "validate_url": "select page_id, host, host in ('soundcloud.com', 'mixcloud.com', 'youtube.com', 'youtu.be', 'm.youtube.com') or host like '%.soundcloud.com' or host like '%.mixcloud.com' or host like '%.youtube.com' or host like '%.youtu.be' as valid from (select page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www[.]', '') as host from pages) u",
 }
 
 

@@ -7,8 +7,17 @@ from tests.test_catalog import SF
 
 def score(last, track, heard, liked):
     steps = abs(last.num - track.num)
-    distance = min(steps, 12 - steps) + (0 if last.letter == track.letter else 1)
-    key = {0: 1.0, 1: 0.9, 2: 0.6, 3: 0.3}.get(distance, 0.1)
+    steps = min(steps, 12 - steps)
+    if (last.num, last.letter) == (track.num, track.letter):
+        key = 0.7
+    elif steps == 0:
+        key = 0.95
+    elif steps == 1:
+        key = 1.0 if last.letter == track.letter else 0.85
+    elif steps == 2:
+        key = 0.5 if last.letter == track.letter else 0.4
+    else:
+        key = 0.2
     artist = 0.0 if track.artist == last.artist else 0.5 if track.artist in heard else 1.0
     rating = track.rating / 5 if track.rating > 0 else 0.5
     gap = abs(track.bpm - last.bpm)

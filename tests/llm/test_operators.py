@@ -124,6 +124,22 @@ def test_line_dedup(spark):
     assert left.columns == docs.columns
 
 
+
+def met(spark, pairs):
+    """The share of pairs of lines that meet in a bucket."""
+    docs = spark.createDataFrame([(i, "\n".join(p)) for i, p in enumerate(pairs)], "doc_id long, text string")
+    bands = line_dedup._bands(docs).join(line_dedup._lines(docs).select("line_id", "doc_id", "pos"), "line_id")
+    twice = bands.groupBy("doc_id", "bucket").agg(F.countDistinct("pos").alias("n")).filter("n = 2")
+    return twice.select("doc_id").distinct().count() / len(pairs)
+
+
+def test_line_bands_of_pairs_that_straddle_any_length(spark):
+    rng = random.Random(5)
+    for length in (30, 48, 63, 82):
+        lines = [words(rng, 30)[:length].strip().ljust(length, "x") for _ in range(100)]
+        assert met(spark, [(x, x + "y") for x in lines]) >= 0.98
+
+
 def test_decontaminate(spark):
     rng = random.Random(3)
     items = [words(rng, n) for n in (16, 30, 59, 6)] + ["", None]

@@ -140,6 +140,23 @@ def test_line_bands_of_pairs_that_straddle_any_length(spark):
         assert met(spark, [(x, x + "y") for x in lines]) >= 0.98
 
 
+
+def test_line_bands_of_any_script(spark):
+    rng = random.Random(6)
+    cyrillic = ["".join(rng.choice("абвгдежзиклмно ") for _ in range(100)).strip().rjust(100, "я") for _ in range(100)]
+    assert met(spark, [(x, x[:5] + "щ" + x[6:]) for x in cyrillic]) >= 0.98
+    pairs = []
+    while len(pairs) < 100:  # scattered edits down to the threshold
+        x = words(rng, 22)
+        y = list(x)
+        for _ in range(3):
+            y[rng.randrange(len(y))] = "z"
+        a, b = ({t[i : i + 5] for i in range(len(t) - 4)} for t in (x, "".join(y)))
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            pairs.append((x, "".join(y)))
+    assert met(spark, pairs) >= 0.96
+
+
 def test_decontaminate(spark):
     rng = random.Random(3)
     items = [words(rng, n) for n in (16, 30, 59, 6)] + ["", None]

@@ -157,6 +157,18 @@ def test_line_bands_of_any_script(spark):
     assert met(spark, pairs) >= 0.96
 
 
+
+def test_line_components_compare_whole_buckets(spark, monkeypatch):
+    rng = random.Random(7)
+    lines = [words(rng, 30) for _ in range(20)]
+    docs = spark.createDataFrame([(i, x + "\n" + x + "y") for i, x in enumerate(lines)], "doc_id long, text string")
+    one = lambda docs: line_dedup._lines(docs).select("line_id", F.lit(1).cast("long").alias("bucket")).distinct()
+    monkeypatch.setattr(line_dedup, "_bands", one)
+    monkeypatch.setattr(line_dedup, "SUB", 8, raising=False)  # forces blocks
+    found = line_dedup.line_components(docs).collect()
+    assert len(found) == 40 and len({r.root for r in found}) == 20
+
+
 def test_decontaminate(spark):
     rng = random.Random(3)
     items = [words(rng, n) for n in (16, 30, 59, 6)] + ["", None]

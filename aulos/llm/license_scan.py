@@ -87,13 +87,28 @@ def evaluate(postfix: list[str]) -> tuple[str, float]:
 
 def read_expression(rest: str) -> tuple[str, float] | None:
     """The longest leading run of tokens that is a valid expression."""
-    tokens = re.findall(r"[()]|[^\s()]+", rest)
-    for end in range(len(tokens), 0, -1):
-        try:
-            return evaluate(to_postfix(" ".join(tokens[:end])))
-        except ValueError:
-            continue
-    return None
+    depth, want, end = 0, True, 0
+    for found in re.finditer(r"[()]|[^\s()]+", rest):
+        token = found[0].lower()
+        if token == "(":
+            if not want:
+                break
+            depth += 1
+        elif token == ")":
+            if want or not depth:
+                break
+            depth -= 1
+        elif token in _PRECEDENCE:
+            if want:
+                break
+            want = True
+        elif not want or not re.fullmatch(r"[a-z0-9.+-]+", token):
+            break
+        else:
+            want = False
+        if not want and not depth:
+            end = found.end()
+    return evaluate(to_postfix(rest[:end])) if end else None
 
 
 class Scanner:
@@ -121,7 +136,7 @@ class Scanner:
         lowered = raw.translate(_LOWER).decode("latin-1")
         for end, _ in self.tags.iter(lowered) if "spdx" in lowered else ():
             rest = raw[end + 1 : raw.find(b"\n", end) if raw.find(b"\n", end) >= 0 else None].decode("utf-8", "replace")
-            found = read_expression(rest[:4096])
+            found = read_expression(rest)
             if found:
                 labels.add(f"spdx:{found[0]}")
                 openness.append(found[1])

@@ -208,6 +208,14 @@ def test_license_scan(docs, texts):
         assert r.n_words == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (texts[r.doc_id] or "").lower()))
 
 
+
+def test_license_expressions_of_any_length():
+    scan = license_scan.Scanner().scan
+    long = " AND ".join(["MIT"] * 1000 + ["GPL-3.0-only"])
+    labels, openness = scan(f"SPDX-License-Identifier: {long} */ rest")[5:8:2]
+    assert labels.endswith("gpl-3.0-only)") and labels.count("mit") == 1000 and openness == 0.0
+
+
 def test_mixing(docs, texts):
     got = mixing.mix(docs).collect()
     assert len(got) == len(texts) + 1

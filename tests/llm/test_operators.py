@@ -162,13 +162,45 @@ def test_line_components_compare_whole_buckets(spark, monkeypatch):
     rng = random.Random(7)
     lines = [words(rng, 30) for _ in range(20)]
     docs = spark.createDataFrame([(i, x + "\n" + x + "y") for i, x in enumerate(lines)], "doc_id long, text string")
-    one = lambda docs: line_dedup._lines(docs).select("line_id", F.lit(1).cast("long").alias("bucket")).distinct()
-    monkeypatch.setattr(line_dedup, "_bands", one)
+    one = lambda signed: signed.select(F.lit(1).cast("long").alias("bucket"), F.lit(0).alias("band"), "line_id", *line_dedup.SKETCH)
+    monkeypatch.setattr(line_dedup, "_buckets", one)
     monkeypatch.setattr(line_dedup, "SUB", 8, raising=False)  # forces blocks
     found = line_dedup.line_components(docs).collect()
     assert len(found) == 40 and len({r.root for r in found}) == 20
 
 
+def test_line_dedup_links_like_all_pairs(spark, monkeypatch):
+    """Components against all pairs by brute force: chains, short and very long lines, other scripts, blocks of four."""
+    monkeypatch.setattr(line_dedup, "SUB", 4)
+    rng = random.Random(12)
+    lines = [words(rng, 3)[:16].ljust(16, "q") for _ in range(10)]
+    for n in (4, 12, 40, 120, 3000):
+        for _ in range(6):
+            x = list(words(rng, n))
+            for _ in range(5):  # a chain of edits: its ends may be unlike
+                lines.append("".join(x))
+                for _ in range(max(1, len(x) // 60)):
+                    x[rng.randrange(len(x))] = rng.choice("xyz")
+    lines += ["".join(rng.choice("абвгд еж") for _ in range(60)).strip().rjust(60, "я") for _ in range(4)]
+    lines += [x + "ю" for x in lines[-4:]]
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    parent = list(range(len(lines)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    linked = [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in linked:
+        parent[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    ids = {r.line_id: r.doc_id for r in line_dedup._lines(docs).collect()}
+    roots = {ids[r.line_id]: ids[r.root] for r in line_dedup.line_components(docs).collect()}
+    assert len(linked) > 100 and all(find(i) == find(j) for i, j in roots.items())  # never a wrong link
+    assert sum(roots.get(i, -1) == roots.get(j, -2) for i, j in linked) >= 0.97 * len(linked)
+
+
 def test_decontaminate(spark):
     rng = random.Random(3)
     items = [words(rng, n) for n in (16, 30, 59, 6)] + ["", None]

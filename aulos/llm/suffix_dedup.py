@@ -114,7 +114,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     """All suffixes in order."""
     n = len(data)
     first = _eights(data)
-    sa = np.argsort(first, kind="stable")
+    sa = np.argsort(first)
     new = np.ones(n, bool)
     new[1:] = first[sa[1:]] != first[sa[:-1]]
     # zeros that pad the end may equal real zero bytes: the shorter suffix goes first
@@ -127,22 +127,19 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     start = np.flatnonzero(new)
     rank = np.empty(n, np.int64)
     rank[sa] = start[group]  # a group's rank is its first place, so refined ranks stay comparable
+    tied = np.flatnonzero(~(new & np.append(new[1:], True)))
     h = 8
-    while h < n:
-        sizes = np.diff(np.append(np.flatnonzero(new), n))
-        tied = np.flatnonzero(np.repeat(sizes > 1, sizes))
-        if not len(tied):
-            break
+    while h < n and len(tied):
         at = sa[tied]
-        later = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
-        head = rank[at]
-        order = np.lexsort((later, head))
-        at, later, head = at[order], later[order], head[order]
+        later = at + h
+        key = rank[at] * (n + 1) + np.where(later < n, rank[np.minimum(later, n - 1)] + 1, 0)  # one number for both, well below 2 ** 63
+        order = np.argsort(key)
+        at, key = at[order], key[order]
         sa[tied] = at
         fresh = np.ones(len(tied), bool)
-        fresh[1:] = (head[1:] != head[:-1]) | (later[1:] != later[:-1])
-        new[tied] = fresh
-        rank[at] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))]
+        fresh[1:] = key[1:] != key[:-1]
+        rank[at] = tied[fresh][np.cumsum(fresh) - 1]
+        tied = tied[~(fresh & np.append(fresh[1:], True))]
         h *= 2
     return sa
 

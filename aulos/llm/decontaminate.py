@@ -9,15 +9,20 @@ short run without edits is enough to propose an item-sized window; the item's be
 within it is then found by exact edit distance over words. An item is found if at most
 ``EDITS`` of its words are edited.
 
+Items of fewer than ``SHORT`` words, where a walk has too few places to start, are proposed by exact pieces
+instead: with e edits allowed, one of e + 1 pieces of the item stands unedited, so none is missed. From ``SHORT``
+words on, walks from all places of an item make a miss at the full number of edits a matter of a few in a hundred.
+
 Items are held whole, ``ITEM_WORDS`` words of them at a time, so a large benchmark takes several
-passes instead of a larger broadcast. Items with fewer words than a walk are matched without edits;
-items without words match nothing. Null texts are empty. Repeated documents or items are reported
+passes instead of a larger broadcast. Items without words match nothing. Ties between alignments go to the
+first; very long texts are read whole. Null texts are empty. Repeated documents or items are reported
 one by one; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aulos.llm import textbytes as tb
-from aulos.llm.shared import materialize, small
 
-STEPS, SAMPLE, REPEATS, EDITS = 10, 7, 3, 0.2
+STEPS, SAMPLE, REPEATS, EDITS, SHORT = 10, 7, 3, 0.2, 15
 ITEM_WORDS, FILTER_BITS, SEED = 4_000_000, 22, 29
 
 
@@ -74,6 +78,14 @@ def edit_distance(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(start[end]), end
 
 
+def _runs(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each position on."""
+    mixed = np.zeros(len(words) - n + 1, np.uint64)
+    for k in range(n):
+        mixed = tb.mix64(mixed + words[k : len(words) - n + 1 + k])
+    return mixed
+
+
 class Index:
     """Walk keys of all window starts of some benchmark items."""
 
@@ -90,7 +102,7 @@ class Index:
         for r in range(REPEATS):
             keys, owners, places = [], [], []
             for i, item in enumerate(self.items):
-                if len(item) >= STEPS:
+                if len(item) >= SHORT:
                     key, last = walk_keys(np.append(item, np.uint64(0)), r)
                     ok = np.flatnonzero(last < len(item))
                     keys.append(key[ok])
@@ -102,10 +114,13 @@ class Index:
             there = np.zeros(1 << FILTER_BITS, bool)
             there[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
             self.tables.append((*table, there))
-        self.short = defaultdict(dict)
+        short = defaultdict(lambda: defaultdict(list))  # words of a piece, its hash: items and the piece's place in them
         for i, item in enumerate(self.items):
-            if 0 < len(item) < STEPS:
-                self.short[len(item)].setdefault(item.tobytes(), []).append(i)
+            if 0 < len(item) < SHORT:
+                cuts = np.linspace(0, len(item), int(EDITS * len(item)) + 2).astype(int).tolist()
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    short[b - a][int(_runs(item[a:b], b - a)[0])].append((i, a))
+        self.short = {n: dict(seeds) for n, seeds in short.items()}
 
     def candidates(self, words: np.ndarray, bounds: np.ndarray):
         """(document, item, start) triples proposed by the tables; starts may lie outside the text."""
@@ -121,6 +136,13 @@ class Index:
             at = np.repeat(maybe, n)
             entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
             out.append(np.stack([np.searchsorted(bounds, at, "right") - 1, owner[entry], at - place[entry]], 1))
+        for n, seeds in self.short.items():
+            if len(words) >= n:
+                mixed = _runs(words, n)
+                at = np.flatnonzero(np.isin(mixed, np.array(list(seeds), np.uint64)))
+                doc = np.searchsorted(bounds, at, "right") - 1
+                hits = [(d, i, p - place) for p, d in zip(at.tolist(), doc.tolist(), strict=True) if p + n <= bounds[d + 1] for i, place in seeds[int(mixed[p])]]
+                out.append(np.array(hits, np.int64).reshape(-1, 3))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
 
     def find(self, words: np.ndarray, bounds: np.ndarray):
@@ -144,22 +166,6 @@ class Index:
                 edits, s, e = edit_distance(item, window)
                 if edits <= most:
                     found.append((d, i, edits, a + s - lo, a + e - lo))
-        for n, exact in self.short.items():
-            if len(words) >= n:
-                mixed = np.zeros(len(words) - n + 1, np.uint64)
-                for k in range(n):
-                    mixed = tb.mix64(mixed + words[k : len(words) - n + 1 + k])
-                keys = {}
-                for raw, items in exact.items():
-                    h = np.zeros(1, np.uint64)
-                    for w in np.frombuffer(raw, np.uint64):
-                        h = tb.mix64(h + w)
-                    keys[int(h[0])] = (raw, items)
-                for p in np.flatnonzero(np.isin(mixed, np.array(list(keys), np.uint64))).tolist():
-                    raw, items = keys[int(mixed[p])]
-                    d = int(np.searchsorted(bounds, p, "right")) - 1
-                    if p + n <= bounds[d + 1] and words[p : p + n].tobytes() == raw:
-                        found += [(d, i, 0, p - int(bounds[d]), p - int(bounds[d]) + n) for i in items]
         return found
 
 
@@ -168,19 +174,18 @@ SCHEMA = "doc_id long, item_id long, edits int, first_word long, end_word long,
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per place where a document holds an item: doc_id, item_id, edits, first_word, end_word, item_words."""
-    spark = docs.sparkSession
+    parts = [docs.select("doc_id", "text").mapInArrow(_finder(index), SCHEMA) for index in _indexes(docs.sparkSession, benchmark)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _indexes(spark, benchmark: DataFrame):
+    """Broadcast indexes of the benchmark, each of bounded size."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-total // (6 * ITEM_WORDS)))
-    parts = []
     for p in range(passes):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).toPandas()
-        index = spark.sparkContext.broadcast(Index(own["item_id"].astype(object).where(own["item_id"].notna(), None).tolist(), own["text"].tolist()))
-        parts.append(docs.select("doc_id", "text").mapInArrow(_finder(index), SCHEMA))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        yield spark.sparkContext.broadcast(Index(own["item_id"].astype(object).where(own["item_id"].notna(), None).tolist(), own["text"].tolist()))
 
 
 def _finder(index):
@@ -201,6 +206,25 @@ def _finder(index):
 
 
 def decontaminate_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item."""
-    found = materialize(leaks(docs, benchmark).select("doc_id").distinct(), "leaking")
-    return docs.join(small(found, 8), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that hold no item, with all their columns.
+
+    Each row is judged by its own text and passes or goes where it stands: no join, so null and repeated ids
+    need no rule. Null and empty texts hold nothing and stay. Empty tables give empty results.
+    """
+    def clean(index):
+        def run(batches):
+            ix = index.value
+            for batch in batches:
+                for rows, data, offsets in tb.pieces(batch):
+                    low = tb.LOWER[data]
+                    starts, ends = tb.words(low, tb.ALNUM)
+                    found = ix.find(tb.span_hashes(low, starts, ends), np.searchsorted(starts, offsets))
+                    keep = np.ones(len(rows), bool)
+                    keep[[f[0] for f in found]] = False
+                    yield rows.filter(pa.array(keep))
+
+        return run
+
+    for index in _indexes(docs.sparkSession, benchmark):
+        docs = docs.mapInArrow(clean(index), docs.schema)
+    return docs

@@ -214,6 +214,46 @@ def test_decontaminate(spark):
     assert sorted(r.doc_id for r in decontaminate.decontaminate_stage(docs, bench).collect()) == [0, 5, 6]
 
 
+def test_short_items_allow_edits(spark):
+    rng = random.Random(21)
+    items = [words(rng, n) for n in range(1, 15)]
+    rows, want = [], []
+    for i, item in enumerate(items):
+        for kind in range(3):
+            w = item.split()
+            for k in rng.sample(range(len(w)), int(decontaminate.EDITS * len(w))):
+                w[k] = {0: "zzz", 1: "", 2: "yy " + w[k]}[kind]
+            want.append((len(rows), i))
+            rows.append(" ".join([words(rng, 9), *filter(None, w), words(rng, 9)]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert set(want) <= got
+
+
+def test_stages_judge_rows_with_null_ids_by_themselves(spark):
+    rng = random.Random(22)
+    item = words(rng, 30)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, item), (None, words(rng, 20)), (3, item), (3, words(rng, 25)), (4, None)], "doc_id long, text string")
+    left = sorted((str(r.doc_id), len((r.text or "").split())) for r in decontaminate.decontaminate_stage(docs, bench).collect())
+    assert left == [("3", 25), ("4", 0), ("None", 20)]
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.quality_stage(docs, labels).count() == 5 and quality.quality_stage(docs.limit(0), labels).count() == 0
+
+
+def test_nested_sets_of_any_depth():
+    sets = [np.arange(1, n + 1, dtype=np.uint64) for n in range(5, 1500)]
+    links = ngram_join.block_links(list(range(len(sets))), sets, np.ones(len(sets), bool), list(range(len(sets))))
+    assert len(links) == len(sets) - 1 - sum(100 * n < 80 * (n + 1) for n in range(5, 1499))
+
+
+def test_license_scan_is_linear_in_hits():
+    text = "cc by x " * 30_000 + "SPDX-License-Identifier: MIT " * 3_000
+    found = license_scan.Scanner().scan(text)
+    assert found[1:4] == (30_000, 0, 29_999 * 3) and "spdx:mit" in found[5]
+
+
 def test_edit_distance_is_exact():
     rng = np.random.default_rng(2)
     for _ in range(60):

@@ -6,7 +6,8 @@ entry stands in toxic documents of the fitting sample. Overlapping windows of wo
 forward and a backward gated recurrent layer; attention pools their states into one score. All
 windows of a text are scored, and its score is that of its worst window after a logistic
 calibration. Training picks, in each round, the windows of toxic documents that the network finds
-worst, and windows of clean documents that it finds worst or at random.
+worst, and windows of clean documents that it finds worst or at random; ``FIT_WINDOWS`` windows of each fitted document
+(the strongest by their inputs, and one at random) bound what training holds. Scoring reads all windows.
 
 Null and empty texts have one window of padding and get its score. Without labels of both kinds
 every score is 0. Repeated rows are scored one by one; empty tables give empty results; other
@@ -29,6 +30,8 @@ FOLDS, HELD, THRESHOLD = 3, 1, 0.7
 WINDOW, STRIDE, HIDDEN, GRAM = 16, 8, 8, 5
 TABLE_BITS, INPUTS = 20, 8
 EPOCHS, RATE = 6, 0.01
+#: Windows of each fitted document that training may pick from, at most.
+FIT_WINDOWS = 3
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
@@ -174,7 +177,7 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(a * self.logits(data, offsets).astype(float) + b, -30, 30)))
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Net | None:
+def fit(texts: list[str], labels: np.ndarray, windows: int = FIT_WINDOWS) -> Net | None:
     texts, labels = without_copies(texts, labels)
     toxic = labels == 1
     if not len(texts) or not toxic.any() or toxic.all():
@@ -197,7 +200,8 @@ def fit(texts: list[str], labels: np.ndarray) -> Net | None:
         strong = padded[index][:, :, :2].max((1, 2))
         order = np.lexsort((-strong, at))
         first = np.searchsorted(at[order], np.arange(len(rows)))
-        picked = np.concatenate([order[first], order[np.minimum(first + 1, len(order) - 1)], rng.integers(0, len(index), len(rows))])
+        strongest = [order[np.minimum(first + k, len(order) - 1)] for k in range(max(1, windows - 1))]
+        picked = np.concatenate([*strongest, rng.integers(0, len(index), len(rows))])
         xs.append(padded[index[picked]])
         of.append(at[picked] + done)
         done += len(rows)

@@ -127,16 +127,21 @@ class Scanner:
         words = raw.translate(_WORD_BYTES).split()
         line = (b" " + b" ".join(words) + b" ").decode("latin-1")
         places, base, labels, openness = [], set(), set(), []
+        at = word = 0  # spaces are counted on from the last hit, never again from the start
         for end, phrase in self.words.iter(line):
             if phrase in BASE:
-                places.append(line.count(" ", 0, end - len(phrase) - 1))
+                start = end - len(phrase) - 1
+                word += line.count(" ", at, start) if start >= at else -line.count(" ", start, at)
+                at = start
+                places.append(word)
                 base.add(BASE[phrase])
             else:
                 labels.add(NOTICES[phrase])
         lowered = raw.translate(_LOWER).decode("latin-1")
-        for end, _ in self.tags.iter(lowered) if "spdx" in lowered else ():
-            rest = raw[end + 1 : raw.find(b"\n", end) if raw.find(b"\n", end) >= 0 else None].decode("utf-8", "replace")
-            found = read_expression(rest)
+        ends = [end for end, _ in self.tags.iter(lowered)] if "spdx" in lowered else []
+        for end, later in zip(ends, [*ends[1:], len(raw)], strict=False):
+            stop = raw.find(b"\n", end, later + 1)  # no expression runs over the next tag
+            found = read_expression(raw[end + 1 : stop if stop >= 0 else later + 1].decode("utf-8", "replace"))
             if found:
                 labels.add(f"spdx:{found[0]}")
                 openness.append(found[1])

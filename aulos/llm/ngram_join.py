@@ -129,27 +129,33 @@ class Trie:
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
         self.sizes, self.sets = sizes, sets
         order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
-        self.root = self._build(order, 0)
-
-    def _build(self, order: list[int], depth: int):
-        """The node for a sorted run of sets that agree on their first ``depth`` tokens."""
-        first, last, end = self.sets[order[0]], self.sets[order[-1]], depth
-        same = min(len(first), len(last))
-        differ = np.flatnonzero(first[depth:same] != last[depth:same])
-        end = depth + int(differ[0]) if len(differ) else same
-        here = [i for i in order if len(self.sets[i]) == end]
-        children, run = [], []
-        for i in order:
-            if len(self.sets[i]) == end:
-                continue
-            if run and self.sets[run[-1]][end] != self.sets[i][end]:
-                children.append(run)
-                run = []
-            run.append(i)
-        if run:
-            children.append(run)
-        kids = [self._build(c, end) for c in children] if len(order) > 1 else []
-        return (first[depth:end], kids, here, min(int(self.sizes[i]) for i in order), max(len(self.sets[i]) for i in order) - end, order)
+        self.root = self._build(order)
+
+    def _build(self, order: list[int]):
+        """The node for sorted sets; nested sets may be as deep as they are many, so no recursion."""
+        top: list = []
+        todo = [(order, 0, top)]
+        while todo:
+            order, depth, siblings = todo.pop()
+            first, last = self.sets[order[0]], self.sets[order[-1]]
+            same = min(len(first), len(last))
+            differ = np.flatnonzero(first[depth:same] != last[depth:same])
+            end = depth + int(differ[0]) if len(differ) else same
+            here = [i for i in order if len(self.sets[i]) == end]
+            runs, run = [], []
+            for i in order:
+                if len(self.sets[i]) == end:
+                    continue
+                if run and self.sets[run[-1]][end] != self.sets[i][end]:
+                    runs.append(run)
+                    run = []
+                run.append(i)
+            if run:
+                runs.append(run)
+            kids: list = []
+            siblings.append((first[depth:end], kids, here, min(int(self.sizes[i]) for i in order), max(len(self.sets[i]) for i in order) - end, order))
+            todo += [(r, end, kids) for r in reversed(runs) if len(order) > 1]
+        return top[0]
 
     def walk(self, mark: np.ndarray, tokens: int, size: int, skip) -> Iterator[int]:
         """Documents whose set links with the marked one; ``skip`` tells documents to leave out."""
@@ -308,6 +314,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def join_stage(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id."""
+    """One document of each component, the one with the smallest doc_id, with all its columns.
+
+    Documents without words or with a null doc_id are in no component and stay; rows repeated with one doc_id stay or go together.
+    Empty tables give empty results.
+    """
     found = jaccard_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

@@ -73,7 +73,7 @@ def compare_bytes(docs: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, capacity: int = BUCKET_ENTRIES) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain."""
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256; repeated rows of the one that stays are all kept."""
     prints = materialize(fingerprints(docs), "dedup-prints")
     index = build_index(prints, capacity)
     checked = compare_bytes(docs, index)

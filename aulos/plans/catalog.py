@@ -70,7 +70,7 @@ QUERIES = {
     "normalize_l2": "select track_id, frame_idx, round(energy / (sqrt(q) + 1E-10), 6) as x from (select track_id, frame_idx, energy, sum(energy * energy) over (partition by track_id) as q from {frames} t) u",
     "compute_delta": "select track_id, frame_idx, round((1E0 * (m1 - p1) + 2E0 * (m2 - p2)) / 1E1, 6) as delta from (select track_id, frame_idx, coalesce(lag(energy, 1) over w, first_value(energy) over w) as m1, coalesce(lag(energy, 2) over w, first_value(energy) over w) as m2, coalesce(lead(energy, 1) over w, e) as p1, coalesce(lead(energy, 2) over w, e) as p2 from (select track_id, frame_idx, energy, last_value(energy) over (partition by track_id order by frame_idx rows between unbounded preceding and unbounded following) as e from {frames} t) u window w as (partition by track_id order by frame_idx)) x",
     "clip_outliers": "select t.track_id, t.frame_idx, round(least(greatest(t.energy, p.lo), p.hi), 6) as x from {frames} t join (select track_id, percentile_cont(0.01) within group (order by energy) as lo, percentile_cont(0.99) within group (order by energy) as hi from {frames} q group by track_id) p on t.track_id = p.track_id",
-    "pad_or_truncate": "select track_id, frame_idx, energy from {frames} t where frame_idx < 32 union all select g.track_id, g.i, 0E0 from (select distinct a.track_id, a.n, b.frame_idx as i from {frames} a join {frames} b on a.frame_idx = 0 and b.frame_idx < 32) g where g.i >= g.n",
+    "pad_or_truncate": "select track_id, frame_idx, energy from {frames} t where frame_idx < 32 union all select a.track_id, i, 0E0 from {frames} a join (values " + ", ".join(f"({i})" for i in range(32)) + ") v(i) on v.i >= a.n where a.frame_idx = 0",
     "resample_half": "select track_id, frame_idx / 2 as slot, round((energy + coalesce(nx, energy)) / 2E0, 6) as x from (select track_id, frame_idx, energy, lead(energy) over (partition by track_id order by frame_idx) as nx from {frames} t) u where frame_idx % 2 = 0",
     "interpolate_gaps": "select track_id, frame_idx, round(case when frame_idx % 3 <> 1 then energy when nx is null then pv else (pv + nx) / 2E0 end, 6) as x from (select track_id, frame_idx, energy, lag(energy) over (partition by track_id order by frame_idx) as pv, lead(energy) over (partition by track_id order by frame_idx) as nx from {frames} t) u",
     # spectra
@@ -95,13 +95,6 @@ QUERIES = {
     "novelty_correlation": "select vec_id, round(1E0 - corr(v, p), 5) as novelty from (select vec_id, k, v, lag(v) over (partition by track_id, k order by vec_id) as p from {bins} t) u where p is not null group by vec_id",
     "path_similarity": "select vec_id, round(exp(-d / (md + 1E-10)), 5) as similarity from (select u.vec_id, u.d, m.md from (select vec_id, track_id, sum(power(v - p, 2)) as d from (select vec_id, track_id, k, v, lag(v) over (partition by track_id, k order by vec_id) as p from {bins} t) x where p is not null group by vec_id, track_id) u join (select track_id, median(d) as md from (select vec_id, track_id, sum(power(v - p, 2)) as d from (select vec_id, track_id, k, v, lag(v) over (partition by track_id, k order by vec_id) as p from {bins} t) y where p is not null group by vec_id, track_id) z group by track_id) m on u.track_id = m.track_id) w",
     # events on curves
-    "detect_peaks": "select track_id, frame_idx, energy from (select track_id, frame_idx, energy, lag(energy) over (partition by track_id order by frame_idx) as p, lead(energy) over (partition by track_id order by frame_idx) as x from {frames} t) u join (select track_id as tid, percentile_cont(0.75) within group (order by energy) as h from {frames} q group by track_id) c on u.track_id = c.tid where energy > p and energy > x and energy >= h",
-    "detect_valleys": "select track_id, frame_idx, energy from (select track_id, frame_idx, energy, lag(energy) over (partition by track_id order by frame_idx) as p, lead(energy) over (partition by track_id order by frame_idx) as x from {frames} t) u join (select track_id as tid, percentile_cont(0.25) within group (order by energy) as h from {frames} q group by track_id) c on u.track_id = c.tid where energy < p and energy < x and energy <= h",
-    "buildup_score": "select track_id, frame_idx, case when frame_idx = 0 then 0E0 else round(greatest(0E0, coalesce(regr_slope(energy, frame_idx) over (partition by track_id order by frame_idx rows between 19 preceding and current row), 0E0)), 5) end as slope from {frames} t",
-    "drop_candidates": "select track_id, frame_idx, round(d / (m + 1E-10), 5) as magnitude from (select track_id, frame_idx, energy - lag(energy) over (partition by track_id order by frame_idx) as d, avg(energy) over (partition by track_id) as m from {frames} t) u where frame_idx >= 20 and d / (m + 1E-10) >= 3E-1",
-    "drop_density": "select track_id, round(sum(case when energy > 2E0 * m then 1E0 else 0E0 end) * 6E1 / (max(frame_idx) + 1), 6) as density from (select track_id, frame_idx, energy, avg(energy) over (partition by track_id) as m from {frames} t) u group by track_id",
-    "drop_intensity": "select track_id, round(least(1E0, sum(c * g) / (sum(c) + 1E-10) * (1E0 - exp(-count(*) / 3E0))), 6) as intensity from (select track_id, energy / (max(energy) over (partition by track_id) + 1E-10) as c, energy / (avg(energy) over (partition by track_id) + 1E-10) as g from {frames} t) u where g > 1 group by track_id",
-    "detect_transitions": "select track_id, frame_idx, case when d > 0 then 'in' else 'out' end as kind from (select track_id, frame_idx, d, stddev_pop(d) over (partition by track_id) as sd from (select track_id, frame_idx, energy - lag(energy) over (partition by track_id order by frame_idx) as d from {frames} t) u) w where abs(d) > 2E0 * sd",
     "label_boundaries": "select user_id as track_id, frame_idx from (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) - 1 as frame_idx, lag(event_type) over (partition by user_id order by ts, event_id) as p from events) u where p is null or p <> event_type",
     "low_energy_runs": "select track_id, min(frame_idx) as first_frame, max(frame_idx) as last_frame, count(*) as frames from (select track_id, frame_idx, frame_idx - row_number() over (partition by track_id order by frame_idx) as grp from (select track_id, frame_idx, energy, avg(energy) over (partition by track_id) as m from {frames} t) u where energy < m) w group by track_id, grp",
     "autocorrelate": "select a.track_id, b.frame_idx - a.frame_idx as lag_frames, round(sum(a.energy * b.energy) / max(a.n), 3) as ac from {frames} a join {frames} b on a.track_id = b.track_id and b.frame_idx between a.frame_idx and a.frame_idx + 7 group by a.track_id, b.frame_idx - a.frame_idx",
@@ -109,7 +102,6 @@ QUERIES = {
     "beat_strength": "select track_id, frame_idx, energy from {frames} t where frame_idx % 8 = 0",
     "groove": "select track_id, round(f / (b + f + 1E-10), 6) as groove from (select track_id, avg(case when frame_idx % 8 = 0 then energy end) as b, coalesce(avg(case when frame_idx % 8 = 4 then energy end), 0E0) as f from {frames} t group by track_id) u",
     "beat_sync_mask": "select track_id, frame_idx, least(frame_idx % 8, 8 - frame_idx % 8) <= 2 as on_beat from {frames} t",
-    "detect_downbeat": "select track_id, min(o) as downbeat from (select track_id, o, s, max(s) over (partition by track_id) as m from (select track_id, frame_idx % 4 as o, avg(energy) as s from {frames} t group by track_id, frame_idx % 4) u) w where s = m group by track_id",
     "spectral_velocity": "select track_id, frame_idx, round(case when p is null and x is null then 0E0 when p is null then x - energy when x is null then energy - p else (x - p) / 2E0 end, 6) as velocity from (select track_id, frame_idx, energy, lag(energy) over (partition by track_id order by frame_idx) as p, lead(energy) over (partition by track_id order by frame_idx) as x from {frames} t) u",
     # grid
     "grid_bars": "select set_id, bar_start, count(*) as events, max(t) as last_t from {grid} g group by set_id, bar_start",
@@ -121,6 +113,13 @@ QUERIES = {
     "alignment_score": "select set_id, round(avg(case when least(t - phrase_start, phrase_start + 8E0 - t) <= 1E0 then 1E0 else 0E0 end), 6) as aligned from {grid} g group by set_id",
     "grid_phase_shift": "select set_id, round(0E0 - median(case when t - phrase_start <= 4E0 then t - phrase_start else t - phrase_start - 8E0 end), 6) as shift from {grid} g group by set_id having count(*) >= 2",
     "beat_aligned_features": "select track_id, cast(floor(frame_idx / 8) as bigint) as beat, round(avg(energy), 6) as mean, max(energy) as peak, round(sum(energy), 4) as total from {frames} t group by track_id, floor(frame_idx / 8)",
+    "snap_to_beat": "select set_id, pos, floor(t * 2E0 + 5E-1) / 2E0 as snapped from {grid} g",
+    "on_bar_boundary": "select set_id, pos, least(t - bar_start, bar_start + 2E0 - t) <= 5E-1 as near from {grid} g",
+    "on_phrase_boundary": "select set_id, pos, least(t - phrase_start, phrase_start + 8E0 - t) <= 1E0 as near from {grid} g",
+    "bar_at_time": "select set_id, pos, cast(bar_start / 2E0 as bigint) as bar, bar_start, bar_start + 2E0 as bar_end from {grid} g",
+    "phrase_at_time": "select set_id, pos, cast(phrase_start / 8E0 as bigint) as phrase, phrase_start, phrase_start + 8E0 as phrase_end from {grid} g",
+    "snap_events_to_grid": "select set_id, pos, case when least(t - phrase_start, phrase_start + 8E0 - t) > 1E0 then t when t - phrase_start <= 4E0 then phrase_start else phrase_start + 8E0 end as snapped from {grid} g",
+    "phase_corrected": "select g.set_id, g.pos, round(g.t + s.shift, 6) as t from {grid} g join (select set_id, 0E0 - median(case when t - phrase_start <= 4E0 then t - phrase_start else t - phrase_start - 8E0 end) as shift from {grid} h group by set_id) s on g.set_id = s.set_id",
     # pairs
     "score_harmonic": "select a.id as a, b.id as b, cast(" + _KEY + " as bigint) as distance, " + _H + " as harmonic from " + _PAIRS,
     "score_bpm": "select a.id as a, b.id as b, round(" + _BPM + ", 6) as diff, " + _B + " as score from " + _PAIRS,
@@ -159,7 +158,10 @@ QUERIES = {
     "job_status": "select user_id, job_id, state from (select user_id, job_id, state, row_number() over (partition by user_id order by ts desc, job_id desc) as r from {jobs} j) u where r = 1",
     "exactly_once_enqueue": "select md5(event_type) as job_key, min(event_id) as first_event, count(*) as attempts from events group by md5(event_type)",
     # scalar functions
-    "format_time": "select l_orderkey, l_linenumber, concat(lpad(cast(cast(floor(l_extendedprice / 3600) as bigint) as varchar(9)), 2, '0'), ':', lpad(cast(cast(floor(l_extendedprice / 60) as bigint) % 60 as varchar(9)), 2, '0'), ':', lpad(cast(cast(floor(l_extendedprice) as bigint) % 60 as varchar(9)), 2, '0')) as hms from lineitem where l_extendedprice < 90000",
+    "format_time": "select l_orderkey, l_linenumber, concat(case when l_extendedprice < 36000 then '0' else '' end, cast(cast(floor(l_extendedprice / 3600) as bigint) as varchar(9)), ':', lpad(cast(cast(floor(l_extendedprice / 60) as bigint) % 60 as varchar(9)), 2, '0'), ':', lpad(cast(cast(floor(l_extendedprice) as bigint) % 60 as varchar(9)), 2, '0')) as hms from lineitem",
+    "format_time_range": "select l_orderkey, l_linenumber, l_partkey, concat(concat(lpad(cast(cast(floor(l_quantity / 60) as bigint) as varchar(9)), 2, '0'), ':', lpad(cast(cast(floor(l_quantity) as bigint) % 60 as varchar(9)), 2, '0')), ' - ', concat(lpad(cast(cast(floor((l_quantity + 60) / 60) as bigint) as varchar(9)), 2, '0'), ':', lpad(cast(cast(floor((l_quantity + 60)) as bigint) % 60 as varchar(9)), 2, '0'))) as span from lineitem",
+    "format_bpm": "select id, concat(cast(cast(bpm as decimal(10, 1)) as varchar(20)), ' BPM') as shown from {tracks} t",
+    "format_percent": "select l_orderkey, l_linenumber, l_partkey, concat(cast(cast(l_discount * 100 as decimal(10, 1)) as varchar(20)), '%') as shown from lineitem",
     "format_confidence": "select l_orderkey, l_linenumber, case when l_discount >= 8E-2 then 'HIGH' when l_discount >= 5E-2 then 'MED' else 'LOW' end as band from lineitem",
     "truncate_for_display": "select doc_id, case when length(text) <= 100 then text else concat(substr(text, 1, 97), '... (', cast(length(text) as varchar(12)), ' chars)') end as shown from documents",
     "url_host": "select page_id, regexp_extract(url, 'https?://([^/?#]+)', 1) as host from pages",

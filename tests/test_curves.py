@@ -7,11 +7,11 @@ import numpy as np
 import pytest
 
 from aulos.functions import curves as cv
-from aulos.plans import curves, registry
+from aulos.plans import curves, registry, tasks
 from tests.test_catalog import plain
 
 SF = "/root/testdata/sf0.001"
-NAMES = [n for n in registry.queries() if registry.queries()[n].__module__ == curves.__name__]
+NAMES = [n for n in registry.queries() if registry.queries()[n].__module__ in (curves.__name__, tasks.__name__)]
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,8 @@ def test_same_rows_as_the_definition(spark, duck, name):
     df = registry.queries()[name](spark, SF)
     rows, columns = df.collect(), sorted(df.columns)
     if name not in registry.oracle_sql():
-        assert rows or name in ("drop_candidates", "beat_grid_phrases")
+        few = ("drop_candidates", "beat_grid_phrases", "mix_events", "transition_pairs", "buildup_zones", "aligned_drops")
+        assert rows or name in few  # events that the smallest tables may not have
         return
     cursor = duck.execute(registry.oracle_sql()[name])
     there = [d[0] for d in cursor.description]

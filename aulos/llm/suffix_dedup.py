@@ -37,10 +37,11 @@ from aulos.llm.shared import materialize, release, small, text_or_empty
 LENGTH, GRAM = 400, 64
 #: A window holds this many bytes before its anchor or this many after it.
 SIDE = (LENGTH - GRAM) // 2
-#: Occurrences of an anchor that one shard takes, bytes of contexts that one suffix array takes.
-HOT, SHARD_BYTES = 512, 3 << 20
+#: Occurrences of an anchor that one shard takes, bytes of contexts after which a suffix array is closed (small ones stay in cache).
+HOT, SHARD_BYTES = 512, 512 << 10
 SLICE, POSITION_BITS = 2 << 20, 22
 BUCKETS = 64
+_BYTE_STEPS = np.array([1 << 8 * k for k in range(8)], np.uint64)
 
 
 # ---- anchors ------------------------------------------------------------------------------------
@@ -110,48 +111,50 @@ def _eights(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(data: np.ndarray) -> np.ndarray:
+def suffix_array(data: np.ndarray, eights: np.ndarray | None = None) -> np.ndarray:
     """All suffixes in order."""
     n = len(data)
-    first = _eights(data)
-    sa = np.argsort(first)
+    first = _eights(data) if eights is None else eights
+    sa = np.argsort(first).astype(np.int32)
+    ordered = first[sa]
     new = np.ones(n, bool)
-    new[1:] = first[sa[1:]] != first[sa[:-1]]
+    new[1:] = ordered[1:] != ordered[:-1]
     # zeros that pad the end may equal real zero bytes: the shorter suffix goes first
     if (data == 0).any():
-        order = np.lexsort((np.minimum(n - sa, 8), first[sa]))
+        order = np.lexsort((np.minimum(n - sa, 8), ordered))
         sa = sa[order]
         size = np.minimum(n - sa, 8)
         new[1:] = (first[sa[1:]] != first[sa[:-1]]) | (size[1:] != size[:-1])
-    group = np.cumsum(new) - 1
-    start = np.flatnonzero(new)
-    rank = np.empty(n, np.int64)
-    rank[sa] = start[group]  # a group's rank is its first place, so refined ranks stay comparable
-    tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+    # a group's rank is its first place, so refined ranks stay comparable; rank h places on is read from the end's zeros too
+    start = np.flatnonzero(new).astype(np.int32)
+    rank = np.zeros(n + 1, np.int32)
+    rank[sa] = np.repeat(start, np.diff(np.append(start, n))) + 1
+    tied = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)
     h = 8
     while h < n and len(tied):
         at = sa[tied]
-        later = at + h
-        key = rank[at] * (n + 1) + np.where(later < n, rank[np.minimum(later, n - 1)] + 1, 0)  # one number for both, well below 2 ** 63
+        key = rank[at].astype(np.int64) << 32  # one number for the group and the rank h places on
+        key |= rank[np.minimum(at + h, n)]
         order = np.argsort(key)
         at, key = at[order], key[order]
         sa[tied] = at
         fresh = np.ones(len(tied), bool)
-        fresh[1:] = key[1:] != key[:-1]
-        rank[at] = tied[fresh][np.cumsum(fresh) - 1]
+        np.not_equal(key[1:], key[:-1], out=fresh[1:])
+        first_of = np.flatnonzero(fresh)
+        rank[at] = np.repeat(tied[first_of], np.diff(np.append(first_of, len(tied)))) + 1
         tied = tied[~(fresh & np.append(fresh[1:], True))]
         h *= 2
     return sa
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
+def common_prefixes(data: np.ndarray, sa: np.ndarray, cap: int, eights: np.ndarray | None = None) -> np.ndarray:
     """For each place of ``sa``, the bytes (``cap`` at most) its suffix shares with the one before it."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64)
     before = np.full(n, -1)
     before[sa[1:]] = sa[:-1]
-    eights, shared = _eights(data), np.zeros(n, np.int64)
+    eights, shared = _eights(data) if eights is None else eights, np.zeros(n, np.int64)
     stride, done = 64, np.zeros(0, np.int64)
     while stride:
         todo = np.arange(0, n, stride) if not len(done) else np.arange(stride, n, 2 * stride)
@@ -162,13 +165,7 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
             a, b = live + shared[live], before[live] + shared[live]
             room = np.minimum(cap - shared[live], n - np.maximum(a, b))
             differ = eights[np.minimum(a, n - 1)] ^ eights[np.minimum(b, n - 1)]
-            # equal leading bytes of the two eights
-            lead = np.full(len(live), 8)
-            for k in range(8):
-                hit = (lead == 8) & ((differ >> np.uint64(56 - 8 * k)) & np.uint64(255) != 0)
-                lead[hit] = k
-                if not (lead == 8).any():
-                    break
+            lead = 8 - np.searchsorted(_BYTE_STEPS, differ, "right")  # equal leading bytes of the two eights
             step = np.minimum(lead, np.maximum(room, 0))
             shared[live] += step
             live = live[(step == 8) & (room > 8)]
@@ -180,13 +177,14 @@ def judge(contexts: list[bytes], owned: np.ndarray, weights: np.ndarray) -> list
     """For each context, which of its owned windows occur more than once among all owned windows."""
     sizes = np.array([len(c) for c in contexts])
     data = np.frombuffer(b"".join(contexts), np.uint8)
-    sa = suffix_array(data)  # in full: the common prefixes' bound needs the true order
+    eights = _eights(data)
+    sa = suffix_array(data, eights)  # in full: the common prefixes' bound needs the true order
     first = np.cumsum(sizes) - sizes
     weight = np.zeros(len(data) + 1, np.int64)
     np.add.at(weight, first, weights)
     np.add.at(weight, first + owned, -weights)
     weight = np.cumsum(weight)[:-1]  # 0 for suffixes that are not an owned window
-    run = np.cumsum(common_prefixes(data, sa, LENGTH) < LENGTH) - 1
+    run = np.cumsum(common_prefixes(data, sa, LENGTH, eights) < LENGTH) - 1
     total = np.bincount(run, weights=weight[sa])
     again = np.zeros(len(data), bool)
     again[sa] = total[run] > 1

@@ -293,18 +293,21 @@ def _solve(dealt: DataFrame) -> DataFrame:
                                        "digests": pa.array([np.array([d for d, _, _ in held_], np.uint64).tobytes()], pa.binary()), "keys": pa.array([keys], pa.list_(pa.string())),
                                        "owner": pa.array([np.array([where[k] for _, k, _ in held_], np.int32).tobytes()], pa.binary()), "starts": pa.array([np.array([s for _, _, s in held_], np.int64).tobytes()], pa.binary())})
 
-        last = None
+        last, known = None, []
         for batch in batches:
+            yield from out(known, [])
+            known.clear()
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held > SHARD_BYTES and (r[0], r[1]) != last:
                     yield from out(*shard())
                     held = 0
                 if r[2] < 0:  # known to be repeated as a whole
-                    yield from out([(r[3], r[4], r[4] + r[5] + LENGTH - 1)], [])
+                    known.append((r[3], r[4], r[4] + r[5] + LENGTH - 1))
                     continue
                 last = (r[0], r[1])
                 rows.append(r)
                 held += len(r[7])
+        yield from out(known, [])
         if rows:
             yield from out(*shard())
 

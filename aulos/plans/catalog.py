@@ -1,8 +1,9 @@
 """Queries over the input tables written once as standard SQL and planned by Catalyst.
 
 Each entry is one operator of the sequence, grid, pair, store, planning or job families. ``{frames}``,
-``{bins}``, ``{tracks}``, ``{grid}`` and ``{jobs}`` stand for the derived tables below; ``{bins}`` is the
-only one whose text differs between engines. All sequence windows are partitioned by track, so a
+``{bins}``, ``{tracks}``, ``{grid}`` and ``{jobs}`` stand for the derived tables below, ``{pairs}`` for the
+pairs of tracks. The text of ``{bins}``, ``{pairs}`` and ``best_next_tracks`` differs between engines: Spark
+joins on tempo cells, the oracle compares every pair. All sequence windows are partitioned by track, so a
 table of many tracks spreads over the cluster and none is gathered.
 """
 
@@ -13,6 +14,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from aulos.functions.analysis import GENRES
 from aulos.plans.registry import register
 from aulos.tables import table
 
@@ -23,8 +25,10 @@ BINS_SPARK = """(select vec_id, cast(label as bigint) as track_id, cast(pos as b
 BINS_DUCK = """(select vec_id, cast(label as bigint) as track_id, cast(i - 1 as bigint) as k, abs(cast(embedding[i] as double)) as s, cast(embedding[i] as double) as v, (i - 1) * 1.5625E2 as f
   from embeddings, (select unnest(range(1, 65)) as i) r)"""
 TRACKS = """(select p_partkey as id, 9E1 + ((p_partkey * 37) % 900) / 1E1 as bpm, cast(p_size % 12 + 1 as bigint) as num,
-  case when p_partkey % 2 = 0 then 'A' else 'B' end as letter, p_brand as artist, p_type as genre, cast(p_size % 6 as bigint) as rating,
-  cast(180 + 6 * p_size as bigint) as duration, p_retailprice as centroid, (p_partkey % 10) / 1E1 as intro, ((p_partkey * 7) % 10) / 1E1 as outro from part)"""
+  case when p_partkey % 2 = 0 then 'A' else 'B' end as letter, p_brand as artist, cast(p_size % 6 as bigint) as rating,
+  case p_partkey % 7 when 0 then 'Techno' when 1 then 'House' when 2 then 'Trance' when 3 then 'Disco/Funk' when 4 then 'Bass' when 5 then 'Hip-Hop' else 'Ambient' end as genre,
+  cast(180 + 6 * p_size as bigint) as duration, cast((p_partkey * 13) % (180 + 6 * p_size) as bigint) as drop_at, p_retailprice as centroid,
+  (p_partkey % 10) / 1E1 as intro, ((p_partkey * 7) % 10) / 1E1 as outro from part)"""
 #: A beat every half second per set (order); bars of 4 beats, phrases of 16.
 GRID = """(select l_orderkey as set_id, cast(l_linenumber as bigint) as pos, l_quantity as t, floor(l_quantity / 2E0) * 2E0 as bar_start,
   floor(l_quantity / 8E0) * 8E0 as phrase_start from lineitem)"""
@@ -36,15 +40,36 @@ _BPM = "(least(abs(a.bpm - b.bpm) / least(a.bpm, b.bpm), abs(a.bpm - 2 * b.bpm)
 _H = f"(case {_KEY} when 0 then 1E0 when 1 then 9E-1 when 2 then 6E-1 when 3 then 3E-1 else 1E-1 end)"
 _B = f"(case when {_BPM} <= 2E0 then 1E0 when {_BPM} <= 6E0 then 8E-1 when {_BPM} <= 9E0 then 5E-1 else 2E-1 end)"
 _S = "greatest(0E0, 1E0 - abs(a.centroid - b.centroid) / 2E3)"
-_G = "(case when a.genre = b.genre then 1E0 else 4E-1 end)"
+_G = "(case when a.genre = b.genre then 1E0 " + " ".join(f"when (a.genre = '{x}' and b.genre = '{y}') or (a.genre = '{y}' and b.genre = '{x}') then {v:E}" for (x, y), v in GENRES.items()) + " else 4E-1 end)"
+# drops in the last 32 seconds of the first track or the first 32 of the second clash
+_D = "(1E0 - 3E-1 * (case when a.duration - a.drop_at < 32 then 1 else 0 end + case when b.drop_at < 32 then 1 else 0 end))"
 _E = "(case when b.intro - a.outro between 0E0 and 1.5E-1 then 1E0 when abs(b.intro - a.outro) <= 2E-1 then 9E-1 when abs(b.intro - a.outro) <= 3E-1 then 7E-1 when abs(b.intro - a.outro) <= 5E-1 then 4E-1 else 2E-1 end)"
 # key moves that keep a set going: a neighbour, the relative mode and a diagonal come before staying
 _STEP = "least(abs(a.num - b.num), 12 - abs(a.num - b.num))"
 _MOVE = f"(case when a.num = b.num and a.letter = b.letter then 7E-1 when a.letter = b.letter and {_STEP} = 1 then 1E0 when a.num = b.num then 9.5E-1 when {_STEP} = 1 then 8.5E-1 when {_STEP} = 2 and a.letter = b.letter then 5E-1 when {_STEP} = 2 then 4E-1 else 2E-1 end)"
 _GAP = "(case when abs(a.bpm - b.bpm) <= 2E0 then 1E0 when abs(a.bpm - b.bpm) <= 4E0 then 8E-1 when abs(a.bpm - b.bpm) <= 6E0 then 5E-1 else 2E-1 end)"
 _NEXT = f"(3.5E-1 * {_MOVE} + 2E-1 * (case when a.artist = b.artist then 0E0 else 1E0 end) + 1.5E-1 * (case when b.rating > 0 then b.rating / 5E0 else 5E-1 end) + 1.5E-1 * {_GAP} + 7.5E-2)"
-# a pair's left side is spread over the cluster by track before the pairs are made, since a small library is one file; the engines that don't know the hint read a comment
-_PAIRS = "(select /*+ repartition({parts}, id) */ * from {tracks} s) a join {tracks} b on a.id <> b.id and floor(a.bpm) = floor(b.bpm)"
+_TOTAL = f"round((3E-1 * {_H} + 2.5E-1 * {_E} + 2E-1 * {_D} + 1.5E-1 * {_S} + 1E-1 * {_G}) * (5E-1 + 5E-1 * {_B}), 9)"
+# Pairs are the tracks whose tempo, or its half or double, is within 9 percent: beyond it the tempo score is constant and the lowest.
+# Cells are 0.02 wide in ln(bpm), so the eleven around a tempo hold all within 9 percent; a pair meets in one of a's cells only. The left
+# side is spread over the cluster by track before the pairs are made, since a small library is one file.
+_CELL = "cast(floor(ln(bpm {0}) / 2E-2) as bigint)"
+_CELLS = "explode(concat(" + ", ".join(f"sequence({c} - 5, {c} + 5)" for c in (_CELL.format(m) for m in ("* 5E-1", "* 1E0", "* 2E0"))) + ")) as cell"
+PAIRS_SPARK = f"""(select /*+ repartition({{parts}}, id) */ *, {_CELLS} from {{tracks}} s) a
+  join (select *, {_CELL.format("")} as cell from {{tracks}} t) b on a.cell = b.cell and a.id <> b.id and {_BPM} <= 9E0"""
+PAIRS_DUCK = f"{{tracks}} a join {{tracks}} b on a.id <> b.id and {_BPM} <= 9E0"
+# Best successors look at tracks of any tempo. Of tracks alike in key and rating, one further than 6 BPM away loses to any with a smaller id,
+# unless that one is by the same artist: so of each key and rating the first twelve ids, six an artist at most, stand for all that are far.
+# Of tracks alike in tempo too the same holds at any distance. Cells of 6 BPM find the near ones.
+_ALIKE = "row_number() over (partition by {0} order by id)"
+_FIRST = "(select * from (select *, " + _ALIKE.format("{0}") + " as nth from (select *, " + _ALIKE.format("{0}, artist") + " as own from {{tracks}} t) u where own <= 6) w where nth <= 12)"
+_NEXT_PAIR = f"select a.id as a, b.id as b, round({_NEXT}, 6) as total from "
+_BEST = "select a, b, rnk, total from (select a, b, total, row_number() over (partition by a order by total desc, b) as rnk from ({0}) u) w where rnk <= 5"
+BEST_SPARK = _BEST.format(
+    _NEXT_PAIR + "(select /*+ repartition({parts}, id) */ *, explode(sequence(cast(floor(bpm / 6E0) as bigint) - 1, cast(floor(bpm / 6E0) as bigint) + 1)) as cell from {tracks} s) a join (select *, cast(floor(bpm / 6E0) as bigint) as cell from "
+    + _FIRST.format("num, letter, rating, bpm") + " x) b on a.cell = b.cell and a.id <> b.id and abs(a.bpm - b.bpm) <= 6E0 union all "
+    + _NEXT_PAIR + "(select /*+ repartition({parts}, id) */ * from {tracks} s) a join " + _FIRST.format("num, letter, rating") + " b on a.id <> b.id and abs(a.bpm - b.bpm) > 6E0")
+BEST_DUCK = _BEST.format(_NEXT_PAIR + "{tracks} a join {tracks} b on a.id <> b.id")
 
 # fixed values: weights of the twelve semitones above the tonic of a major and a minor key
 _MAJOR = "(0, 6.35E0), (1, 2.23E0), (2, 3.48E0), (3, 2.33E0), (4, 4.38E0), (5, 4.09E0), (6, 2.52E0), (7, 5.19E0), (8, 2.39E0), (9, 3.66E0), (10, 2.29E0), (11, 2.88E0)"
@@ -121,15 +146,15 @@ QUERIES = {
     "snap_events_to_grid": "select set_id, pos, case when least(t - phrase_start, phrase_start + 8E0 - t) > 1E0 then t when t - phrase_start <= 4E0 then phrase_start else phrase_start + 8E0 end as snapped from {grid} g",
     "phase_corrected": "select g.set_id, g.pos, round(g.t + s.shift, 6) as t from {grid} g join (select set_id, 0E0 - median(case when t - phrase_start <= 4E0 then t - phrase_start else t - phrase_start - 8E0 end) as shift from {grid} h group by set_id) s on g.set_id = s.set_id",
     # pairs
-    "score_harmonic": "select a.id as a, b.id as b, cast(" + _KEY + " as bigint) as distance, " + _H + " as harmonic from " + _PAIRS,
-    "score_bpm": "select a.id as a, b.id as b, round(" + _BPM + ", 6) as diff, " + _B + " as score from " + _PAIRS,
-    "score_spectral": "select a.id as a, b.id as b, round(" + _S + ", 6) as score from " + _PAIRS,
-    "score_genre": "select a.id as a, b.id as b, " + _G + " as score from " + _PAIRS,
-    "score_energy_flow": "select a.id as a, b.id as b, " + _E + " as score from " + _PAIRS,
-    "transition_score": "select a.id as a, b.id as b, round((3E-1 * " + _H + " + 2.5E-1 * " + _E + " + 2E-1 + 1.5E-1 * " + _S + " + 1E-1 * " + _G + ") * (5E-1 + 5E-1 * " + _B + "), 9) as total from " + _PAIRS,
-    "transition_quality": "select quality, count(*) as pairs from (select case when total >= 8E-1 then 'Excellent' when total >= 6E-1 then 'Good' when total >= 4E-1 then 'Fair' else 'Poor' end as quality from (select round((3E-1 * " + _H + " + 2.5E-1 * " + _E + " + 2E-1 + 1.5E-1 * " + _S + " + 1E-1 * " + _G + ") * (5E-1 + 5E-1 * " + _B + "), 9) as total from " + _PAIRS + ") u) w group by quality",
-    "key_progression": "select a.id as a, b.id as b, " + _MOVE + " as score from " + _PAIRS,
-    "best_next_tracks": "select a, b, rnk, total from (select a, b, total, row_number() over (partition by a order by total desc, b) as rnk from (select a.id as a, b.id as b, round(" + _NEXT + ", 6) as total from " + _PAIRS + ") u) w where rnk <= 5",
+    "score_harmonic": "select a.id as a, b.id as b, cast(" + _KEY + " as bigint) as distance, " + _H + " as harmonic from {pairs}",
+    "score_bpm": "select a.id as a, b.id as b, round(" + _BPM + ", 6) as diff, " + _B + " as score from {pairs}",
+    "score_spectral": "select a.id as a, b.id as b, round(" + _S + ", 6) as score from {pairs}",
+    "score_genre": "select a.id as a, b.id as b, " + _G + " as score from {pairs}",
+    "score_energy_flow": "select a.id as a, b.id as b, " + _E + " as score from {pairs}",
+    "transition_score": "select a.id as a, b.id as b, " + _TOTAL + " as total from {pairs}",
+    "transition_quality": "select quality, count(*) as pairs from (select case when total >= 8E-1 then 'Excellent' when total >= 6E-1 then 'Good' when total >= 4E-1 then 'Fair' else 'Poor' end as quality from (select " + _TOTAL + " as total from {pairs}" + ") u) w group by quality",
+    "key_progression": "select a.id as a, b.id as b, " + _MOVE + " as score from {pairs}",
+    "best_next_tracks": BEST_SPARK,
     # planning
     "filter_tracks_for_phase": "select p.name as phase, t.id from (select 'intro' as name, 1.0E2 as lo, 1.15E2 as hi union all select 'build', 1.15E2, 1.25E2 union all select 'peak', 1.25E2, 1.35E2 union all select 'outro', 1.1E2, 1.2E2) p join {tracks} t on t.bpm > 0 and (t.bpm between p.lo and p.hi or 2 * t.bpm between p.lo and p.hi or t.bpm / 2 between p.lo and p.hi)",
     "weak_transitions": "select set_id, pos, round(score, 6) as score from (select o.l_orderkey as set_id, cast(o.l_linenumber as bigint) as pos, 1E0 - abs(o.l_discount - lag(o.l_discount) over (partition by o.l_orderkey order by o.l_linenumber, o.l_partkey, o.l_suppkey)) * 1E1 as score from lineitem o) u where score < 6E-1",
@@ -178,8 +203,12 @@ QUERIES = {
 }
 
 
-def _text(sql: str, bins: str, parts: str = "1") -> str:
-    for name, value in (("{frames}", FRAMES), ("{bins}", bins), ("{tracks}", TRACKS), ("{grid}", GRID), ("{jobs}", JOBS), ("{parts}", parts)):
+#: Oracles whose text differs as a whole.
+DUCK = {"best_next_tracks": BEST_DUCK}
+
+
+def _text(sql: str, bins: str, pairs: str, parts: str = "1") -> str:
+    for name, value in (("{pairs}", pairs), ("{frames}", FRAMES), ("{bins}", bins), ("{tracks}", TRACKS), ("{grid}", GRID), ("{jobs}", JOBS), ("{parts}", parts)):
         sql = sql.replace(name, value)
     return sql
 
@@ -189,7 +218,7 @@ _TABLES = "region nation customer supplier part orders lineitem events documents
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Plan ``sql`` over the tables it names."""
-    text = _text(sql, BINS_SPARK, spark.conf.get("spark.sql.shuffle.partitions"))
+    text = _text(sql, BINS_SPARK, PAIRS_SPARK, spark.conf.get("spark.sql.shuffle.partitions"))
     for name in _TABLES:
         if re.search(rf"\b{name}\b", text):
             table(spark, sf_dir, name).createOrReplaceTempView(name)
@@ -197,4 +226,4 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 for _name, _sql in QUERIES.items():
-    register(_name, functools.partial(lambda spark, sf_dir, sql: run_sql(spark, sf_dir, sql), sql=_sql), _text(_sql, BINS_DUCK))
+    register(_name, functools.partial(lambda spark, sf_dir, sql: run_sql(spark, sf_dir, sql), sql=_sql), _text(DUCK.get(_name, _sql), BINS_DUCK, PAIRS_DUCK))

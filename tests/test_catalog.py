@@ -42,3 +42,23 @@ def test_same_rows_as_duckdb(spark, duck, name):
 def test_registering_twice_fails():
     with pytest.raises(ValueError):
         registry.register(NAMES[0], lambda spark, sf_dir: None)
+
+
+@pytest.mark.parametrize("brands", [1, 2, 7])
+def test_best_successors_in_a_library_of_alike_tracks(spark, tmp_path, brands):
+    """Few keys, tempos and artists: most scores tie, and the first ids of a key may all be by one artist."""
+    rows = [(i, 5 if i % 3 else 17, f"Brand#{0 if i < 60 else i % brands}", 900.0 + i % 7) for i in range(1, 420)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_brand string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in registry.queries()["best_next_tracks"](spark, str(tmp_path)).collect())
+    assert len(got) == 419 * 5
+    assert got == sorted(con.execute(registry.oracle_sql()["best_next_tracks"]).fetchall())
+
+
+def test_pairs_meet_at_half_and_double_tempo_and_across_whole_bpm(spark):
+    bpm = {r.id: r.bpm for r in catalog.run_sql(spark, SF, "select id, bpm from {tracks} t").collect()}
+    got = {(r.a, r.b) for r in registry.queries()["score_bpm"](spark, SF).collect()}
+    apart = lambda x, y: min(abs(x - y) / min(x, y), abs(x - 2 * y) / x, abs(2 * x - y) / (2 * x)) * 100
+    assert got == {(a, b) for a in bpm for b in bpm if a != b and apart(bpm[a], bpm[b]) <= 9}
+    assert any(bpm[a] > 1.8 * bpm[b] for a, b in got)

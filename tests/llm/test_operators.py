@@ -48,9 +48,28 @@ def test_exact_dedup(docs, texts):
     assert len(got) == len(texts) + 1
     for r in got:
         same = [(-len(t or ""), i) for i, t in enumerate(texts) if strip(t) == strip(texts[r.doc_id])]
-        assert (r.keep_id, r.kept) == (min(same)[1], min(same)[1] == r.doc_id)
+        assert r.keep_id == min(same)[1] and (not r.kept or r.doc_id == r.keep_id)
         assert r.text_sha256 == hashlib.sha256(strip(texts[r.doc_id]).encode()).hexdigest()
         assert r.group_size == len(same) + any(i == 9 for _, i in same)
+    kept = [r.keep_id for r in got if r.kept]
+    assert sorted(kept) == sorted({r.keep_id for r in got})  # one row a group, of repeated rows too
+
+
+def test_exact_dedup_without_ids_and_with_long_texts(spark):
+    rows = [(None, "a b"), (None, "ab"), (None, None), (3, "ab"), (4, "x " * 300_000), (5, "x" * 300_000), (5, "x" * 300_000)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), capacity=1).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=str) == sorted(
+        [(None, None, 3, True), (None, None, 3, False), (3, None, 3, False), (None, None, 1, True), (4, 4, 3, True), (5, 4, 3, False), (5, 4, 3, False)], key=str)
+
+
+def test_index_owners_hold_whole_buckets_and_chains(spark, docs):
+    prints = exact_dedup.materialize(exact_dedup.fingerprints(docs), "test-prints")
+    crowded = prints.withColumn("key", (F.pmod("key", F.lit(5)) - 2) * (1 << 61))  # fingerprints that collide on their key
+    index = exact_dedup.build_index(exact_dedup.materialize(crowded, "test-crowded"), capacity=3).collect()
+    assert len({r.bucket for r in index}) > 1 and len({(r.key, r.sha) for r in index}) == len(index)
+    for key in {r.key for r in index}:
+        chain = sorted((r.chain, r.sha) for r in index if r.key == key)
+        assert [c for c, _ in chain] == list(range(1, len(chain) + 1)) and [s for _, s in chain] == sorted(s for _, s in chain)
 
 
 def test_directory_splits_overfull_buckets_only():

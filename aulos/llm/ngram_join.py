@@ -118,9 +118,9 @@ def _prefixes(docs: DataFrame, order) -> DataFrame:
                 need = np.repeat(n - (4 * n + 4) // 5 + 1 + n // MORE, n)
                 pick = by[place < need]
                 ids = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.record_batch({"shingle": pa.array(made[pick].view(np.int64)), "doc_id": pa.array(ids[doc[pick]]), "n": pa.array(n[doc[pick]].astype(np.int32))})
+                yield pa.record_batch({"shingle": pa.array(made[pick].view(np.int64)), "doc_id": pa.array(ids[doc[pick]])})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "shingle long, doc_id long, n int")
+    return docs.select("doc_id", "text").mapInArrow(run, "shingle long, doc_id long")
 
 
 class Trie:
@@ -277,8 +277,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     prefixes = materialize(_prefixes(ours, order), "join-prefixes")
     order.destroy()
     leaders = materialize(prefixes.groupBy("shingle").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last").select("shingle", "leader"), "join-leaders")
-    hits = materialize(prefixes.join(leaders, "shingle").groupBy("leader", "doc_id").agg(F.count(F.lit(1)).alias("hits"), F.max("n").alias("n")), "join-hits")
-    able = hits.groupBy("doc_id").agg(F.sum("hits").alias("hits"), F.max("n").alias("n")).filter(F.col("hits") >= F.floor(F.col("n") / MORE) * 0.8 - 1)
+    hits = materialize(prefixes.join(leaders, "shingle").groupBy("leader", "doc_id").agg(F.count(F.lit(1)).alias("hits")), "join-hits")
+    # a set's size joins by document here, so that it doesn't travel with each shingle of its prefix
+    sized = prints.filter("digest is not null").groupBy("doc_id").agg(F.min("n_shingles").alias("n"))
+    able = hits.groupBy("doc_id").agg(F.sum("hits").alias("hits")).join(sized, "doc_id").filter(F.col("hits") >= F.floor(F.col("n") / MORE) * 0.8 - 1)
     able = materialize(able.select("doc_id"), "join-able")
     members = materialize(hits.join(small(able, 8), "doc_id", "left_semi").select("leader", "doc_id"), "join-members")
     alone = members.groupBy("leader").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("two")).filter("one = two").select("leader")

@@ -115,3 +115,15 @@ def test_calibration_shifts_events_onto_phrases():
     fix = cv.calibrate(np.array([0.4, 8.4, 16.4]), grid, 0.5)
     assert fix["shift"] == pytest.approx(-0.4) and (fix["before"], fix["after"]) == (0.0, 1.0)
     assert cv.calibrate(np.array([1.0]), grid)["confidence"] == 0.0
+
+
+@pytest.mark.parametrize("name", ["detect_peaks", "detect_valleys"])
+def test_peaks_of_long_tracks_with_plateaus_and_gaps_follow_their_sql(spark, tmp_path, name):
+    x = np.round(np.random.default_rng(4).normal(50, 9, 700)).tolist()
+    x[300] = None
+    rows = [(i, i, 1, "view", v) for i, v in enumerate(x)] + [(1000 + i, i, 2, "view", v) for i, v in enumerate([1.0, 5.0, 5.0, 1.0, 4.0, 1.0])]
+    spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect())
+    assert len(got) > 50 and got == sorted(con.execute(registry.oracle_sql()[name]).fetchall())

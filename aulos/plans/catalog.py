@@ -2,8 +2,8 @@
 
 Each entry is one operator of the sequence, grid, pair, store, planning or job families. ``{frames}``,
 ``{bins}``, ``{tracks}``, ``{grid}`` and ``{jobs}`` stand for the derived tables below, ``{pairs}`` for the
-pairs of tracks. The text of ``{bins}``, ``{pairs}`` and ``best_next_tracks`` differs between engines: Spark
-joins on tempo cells, the oracle compares every pair. All sequence windows are partitioned by track, so a
+pairs of tracks. The text of ``{bins}``, ``{pairs}``, ``best_next_tracks`` and the low frames differs between
+engines: Spark joins on tempo cells, the oracle compares every pair. All sequence windows are partitioned by track, so a
 table of many tracks spreads over the cluster and none is gathered.
 """
 
@@ -29,6 +29,8 @@ TRACKS = """(select p_partkey as id, 9E1 + ((p_partkey * 37) % 900) / 1E1 as bpm
   case p_partkey % 7 when 0 then 'Techno' when 1 then 'House' when 2 then 'Trance' when 3 then 'Disco/Funk' when 4 then 'Bass' when 5 then 'Hip-Hop' else 'Ambient' end as genre,
   cast(180 + 6 * p_size as bigint) as duration, cast((p_partkey * 13) % (180 + 6 * p_size) as bigint) as drop_at, p_retailprice as centroid,
   (p_partkey % 10) / 1E1 as intro, ((p_partkey * 7) % 10) / 1E1 as outro from part)"""
+# A frame is low below its track's mean. A frame at the mean turns on the order in which doubles are added, so Spark adds them in frame order.
+LOW_SPARK = """(select track_id, frame_idx, energy < avg(energy) over (partition by track_id order by frame_idx rows between unbounded preceding and unbounded following) as low from {frames} t)"""
 #: A beat every half second per set (order); bars of 4 beats, phrases of 16.
 GRID = """(select l_orderkey as set_id, cast(l_linenumber as bigint) as pos, l_quantity as t, floor(l_quantity / 2E0) * 2E0 as bar_start,
   floor(l_quantity / 8E0) * 8E0 as phrase_start from lineitem)"""
@@ -205,10 +207,16 @@ QUERIES = {
 
 #: Oracles whose text differs as a whole.
 DUCK = {"best_next_tracks": BEST_DUCK}
+#: Spark's text where it differs as a whole.
+SPARK = {
+    "low_energy_frames": "select track_id, frame_idx, low from {low} l",
+    "low_energy_ratio": "select track_id, round(avg(case when low then 1E0 else 0E0 end), 6) as low_ratio from {low} l group by track_id",
+    "low_energy_runs": "select track_id, min(frame_idx) as first_frame, max(frame_idx) as last_frame, count(*) as frames from (select track_id, frame_idx, frame_idx - row_number() over (partition by track_id order by frame_idx) as grp from {low} l where low) w group by track_id, grp",
+}
 
 
 def _text(sql: str, bins: str, pairs: str, parts: str = "1") -> str:
-    for name, value in (("{pairs}", pairs), ("{frames}", FRAMES), ("{bins}", bins), ("{tracks}", TRACKS), ("{grid}", GRID), ("{jobs}", JOBS), ("{parts}", parts)):
+    for name, value in (("{pairs}", pairs), ("{low}", LOW_SPARK), ("{frames}", FRAMES), ("{bins}", bins), ("{tracks}", TRACKS), ("{grid}", GRID), ("{jobs}", JOBS), ("{parts}", parts)):
         sql = sql.replace(name, value)
     return sql
 
@@ -226,4 +234,4 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 for _name, _sql in QUERIES.items():
-    register(_name, functools.partial(lambda spark, sf_dir, sql: run_sql(spark, sf_dir, sql), sql=_sql), _text(DUCK.get(_name, _sql), BINS_DUCK, PAIRS_DUCK))
+    register(_name, functools.partial(lambda spark, sf_dir, sql: run_sql(spark, sf_dir, sql), sql=SPARK.get(_name, _sql)), _text(DUCK.get(_name, _sql), BINS_DUCK, PAIRS_DUCK))

@@ -1,5 +1,7 @@
 """Every catalogue query against DuckDB on the smallest tables."""
 
+import functools
+import operator
 import os
 
 import duckdb
@@ -62,3 +64,19 @@ def test_pairs_meet_at_half_and_double_tempo_and_across_whole_bpm(spark):
     apart = lambda x, y: min(abs(x - y) / min(x, y), abs(x - 2 * y) / x, abs(2 * x - y) / (2 * x)) * 100
     assert got == {(a, b) for a in bpm for b in bpm if a != b and apart(bpm[a], bpm[b]) <= 9}
     assert any(bpm[a] > 1.8 * bpm[b] for a, b in got)
+
+
+@pytest.mark.parametrize("name", ["low_energy_ratio", "low_energy_frames", "low_energy_runs"])
+def test_low_frames_take_the_mean_in_frame_order(spark, tmp_path, name):
+    """Frames at the mean: added in the order of the file, the doubles of half of these tracks give another answer."""
+    values = [[0.1, 0.2, 0.3], [0.3, 0.2, 0.1], [1.1, 2.2, 3.3], [3.3, 2.2, 1.1], [0.1] * 6, [0.7, 0.7, 0.7]]
+    rows = [(100 * u + i, i, u, v) for u, x in enumerate(values) for i, v in enumerate(x)]
+    spark.createDataFrame(rows[::-1], "event_id long, ts long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    low = {(u, i): v < functools.reduce(operator.add, values[u]) / len(values[u]) for _, i, u, v in rows}
+    got = registry.queries()[name](spark, str(tmp_path)).collect()
+    if name == "low_energy_ratio":
+        assert {r.track_id: r.low_ratio for r in got} == {u: round(sum(low[u, i] for i in range(len(x))) / len(x), 6) for u, x in enumerate(values)}
+    elif name == "low_energy_frames":
+        assert {(r.track_id, r.frame_idx): r.low for r in got} == low
+    else:
+        assert {(r.track_id, i) for r in got for i in range(r.first_frame, r.last_frame + 1)} == {k for k, v in low.items() if v}

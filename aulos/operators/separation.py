@@ -41,7 +41,9 @@ def hpss(frames: DataFrame, kernel: int = 31, power: float = 2.0, margin: float
         rows = rows.sort_values("frame", ignore_index=True)
         harmonic, percussive = separate(np.stack(rows["mag"].to_list()), kernel, power, margin)
         mine = (rows["frame"] // chunk == rows["chunk"]).to_numpy()
-        return pd.DataFrame({"track_id": rows["track_id"][mine], "frame": rows["frame"][mine], "harmonic": list(harmonic[mine]), "percussive": list(percussive[mine])})
+        # a chunk past the last frame holds only its neighbour's, and a column of no lists needs its type named
+        part = lambda x: pd.Series(list(x[mine]), rows.index[mine], object)
+        return pd.DataFrame({"track_id": rows["track_id"][mine], "frame": rows["frame"][mine], "harmonic": part(harmonic), "percussive": part(percussive)})
 
     spread = frames.select("track_id", "frame", "mag", F.explode(spots).alias("chunk"))
     return spread.groupBy("track_id", "chunk").applyInPandas(run, f"track_id {track}, frame long, harmonic array<double>, percussive array<double>")

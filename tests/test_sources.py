@@ -49,3 +49,12 @@ def test_chunks_separate_like_the_whole(spark):
     assert np.allclose([r.harmonic for r in out], harmonic) and np.allclose([r.percussive for r in out], percussive)
     ratio = separation.harmonic_ratio(separation.hpss(df, kernel=7, chunk=10)).first().ratio
     assert np.isclose(ratio, np.square(harmonic).sum() / np.square(percussive).sum())
+
+
+def test_an_edge_that_reaches_into_an_empty_chunk(spark):
+    """Twenty-eight frames in chunks of ten: the last three also go to a chunk of which no frame is."""
+    mags = np.abs(np.random.default_rng(6).normal(size=(28, 9)))
+    df = spark.createDataFrame([(1, i, m.tolist()) for i, m in enumerate(mags)], "track_id long, frame long, mag array<double>")
+    out = separation.hpss(df, kernel=7, chunk=10).orderBy("frame").collect()
+    assert [r.frame for r in out] == list(range(28))
+    assert np.allclose([r.harmonic for r in out], separation.separate(mags, 7, 2.0, 1.0)[0])

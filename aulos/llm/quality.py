@@ -1,8 +1,8 @@
 """Quality by Bradley-Terry pairwise ranking.
 
-Preference pairs are drawn between good and bad labelled documents of a bounded sample; a linear
-score is learned by logistic loss on the difference of the pair's features. The raw score is then
-cut at the quantile that the labels' share of bad documents gives, and scaled by a logistic curve
+Preference pairs join good and bad labelled documents, of which all outside the held-out fold take
+part; a linear score is learned by logistic loss on the difference of the pair's features. The raw
+score is then cut at the quantile that the labels' share of bad documents gives, and scaled by a logistic curve
 so that the cut sits at ``THRESHOLD``. Features are shares of byte classes and of words over the
 whole text, from one vectorised pass.
 
@@ -14,17 +14,22 @@ results; other columns are ignored. Labels, lang, source and doc_id are no input
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from aulos.llm import textbytes as tb
-from aulos.llm.labelled import FIT_ROWS, fit_sample
+from aulos.llm.labelled import fold
+from aulos.llm.shared import materialize, release
 
 FOLDS, HELD, THRESHOLD = 5, 0, 0.3
-PAIRS, STEPS, RIDGE = 60_000, 60, 1e-3
+STEPS, RIDGE = 60, 1e-3
+#: Pairs of each row, rows of the rarer kind in a block (about), and scores among which the cut is looked up one by one.
+ROUNDS, LEAST_OF_KIND, FEW = 8, 64, 20_000
 _MARKS = [b for b in range(33, 127) if not chr(b).isalnum()]
 
 
@@ -85,45 +90,148 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list[str], labels: np.ndarray, pairs: int = PAIRS) -> Ranker | None:
-    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    if not len(good) or not len(bad):
+def _total(df: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """``fn`` of every batch, summed: one row of ``size`` numbers a partition comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            total += fn(batch)
+        yield pa.record_batch({"s": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+    return np.sum([np.zeros(size), *(r.s for r in df.mapInArrow(run, "s array<double>").collect())], axis=0)
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(float)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.astype(np.float32).ravel())
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """_label, _key, x of every labelled row outside the held-out fold; texts stay where they are, features are joined."""
+    usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.max("quality") == 1).cast("int").alias("_label"))
+    rows = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in tb.pieces(batch):
+                yield pa.record_batch({"doc_id": part.column(0), "x": _lists(features(data, offsets))})
+
+    made = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<float>")
+    return made.join(usable, "doc_id").select("_label", F.xxhash64("doc_id").alias("_key"), "x")
+
+
+def _paired(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Differences of ``ROUNDS`` pairs at least for each row of either kind."""
+    j = np.arange(max(len(good), len(bad)))
+    return np.vstack([good[j % len(good)] - bad[(j + r) % len(bad)] for r in range(ROUNDS)])
+
+
+def _cut(raw: DataFrame, n: int, k: int) -> float:
+    """The middle between the ``k``-th smallest raw score and the next, exactly: bins around both are cut again until few are in them."""
+    first, last = min(max(k - 1, 0), n - 1), min(k, n - 1)
+    low, high = raw.agg(F.min("raw"), F.max("raw")).first()
+    below, inside = 0, n
+    while inside > FEW and high > low:
+        edges = np.unique(np.append(np.linspace(low, high, 4096), high))
+        own = raw.filter(F.col("raw").between(float(low), float(high)))
+        counts = _total(own, lambda b: np.bincount(np.searchsorted(edges, b.column(0).to_numpy(), "right") - 1, minlength=len(edges)).astype(float), len(edges))
+        ends = below + np.cumsum(counts)
+        i, j = int(np.searchsorted(ends, first, "right")), int(np.searchsorted(ends, last, "right"))
+        held = counts[i : j + 1].sum() + (counts[j + 1] if j + 1 < len(edges) else 0)
+        if held >= inside:  # nothing left to cut but equal scores
+            break
+        below, inside, low, high = int(ends[i] - counts[i]), held, edges[i], edges[min(j + 1, len(edges) - 1)]
+    at, found = below, []
+    for r in raw.filter(F.col("raw").between(float(low), float(high))).groupBy("raw").count().orderBy("raw").collect():
+        found += [r["raw"] for want in (first, last) if at <= want < at + r["count"]]
+        at += r["count"]
+    return sum(found) / 2
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Ranker | None:
+    """A ranker of all labelled rows outside the held-out fold.
+
+    Blocks of rows, by a hash of doc_id and so many that each has both kinds, are packed once; every step of a fit is one
+    pass over them that brings sums to the driver. Each row takes part in pairs, and in the cut and the slope.
+    """
+    found = materialize(labelled_features(docs, labels), "quality-features")
+    width = _N + 7
+    sums = _total(found, lambda b: np.concatenate([[b.num_rows, pc.sum(b.column(0)).as_py() or 0], (x := _matrix(b.column(2), width)).sum(0), (x**2).sum(0)]), 2 + 2 * width)
+    n, goods = int(sums[0]), int(sums[1])
+    if not 0 < goods < n:
+        release(found)
         return None
-    batch = pa.record_batch({"text": pa.array(texts, pa.string())})
-    x = np.vstack([features(d, o) for _, d, o in tb.pieces(batch)])
-    mean, scale = x.mean(0), x.std(0) + 1e-3
-    z = np.clip((x - mean) / scale, -8, 8)
-    rng = np.random.default_rng(7)
-    diff = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-    w = np.zeros(z.shape[1])
+    mean = sums[2 : 2 + width] / n
+    scale = np.sqrt(np.maximum(sums[2 + width :] / n - mean**2, 0)) + 1e-3
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_key").combine_chunks()
+        z = np.clip((_matrix(rows.column("x").combine_chunks(), width) - mean) / scale, -8, 8).astype(np.float32)
+        good = rows.column("_label").to_numpy() == 1
+        return pa.table({"good": pa.array([z[good].tobytes()], pa.binary()), "bad": pa.array([z[~good].tobytes()], pa.binary())})
+
+    blocks = materialize(found.groupBy(F.pmod("_key", F.lit(max(1, min(goods, n - goods) // LEAST_OF_KIND)))).applyInArrow(pack, "good binary, bad binary"), "quality-blocks")
+    release(found)
+
+    def sides(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield [np.frombuffer(x, np.float32).reshape(-1, width).astype(float) for x in row]
+
+    w = np.zeros(width)
+
+    def newton(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros(1 + width + width * width)
+        for good, bad in sides(batch):
+            if len(good) and len(bad):
+                diff = _paired(good, bad)
+                p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
+                out += np.concatenate([[len(diff)], diff.T @ p, ((diff * (p * (1 - p))[:, None]).T @ diff).ravel()])
+        return out
+
     for _ in range(STEPS):  # Newton steps on the ridge-penalised logistic loss
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
-        grad = diff.T @ p / pairs - RIDGE * w
-        hess = (diff * (p * (1 - p))[:, None]).T @ diff / pairs + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w += step
+        got = _total(blocks, newton, 1 + width + width * width)
+        pairs = max(got[0], 1)
+        step = np.linalg.solve(got[1 + width :].reshape(width, width) / pairs + RIDGE * np.eye(width), got[1 : 1 + width] / pairs - RIDGE * w)
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    raw = z @ w
-    share = len(bad) / len(labels)
-    ranked = np.sort(raw)
-    k = int(round(share * len(raw)))
-    cut = (ranked[max(k - 1, 0)] + ranked[min(k, len(raw) - 1)]) / 2
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for good, bad in sides(batch):
+                yield pa.record_batch({"raw": np.concatenate([good @ w, bad @ w]), "label": np.repeat([1.0, 0.0], [len(good), len(bad)])})
+
+    raw = materialize(blocks.mapInArrow(score, "raw double, label double"), "quality-raw")
+    release(blocks)
+    cut = _cut(raw, n, n - goods)
     slope = 1.0
     base = np.log(THRESHOLD / (1 - THRESHOLD))
+
+    def logistic(batch: pa.RecordBatch) -> np.ndarray:
+        far, label = batch.column(0).to_numpy() - cut, batch.column(1).to_numpy()
+        p = 1 / (1 + np.exp(-np.clip(base + slope * far, -30, 30)))
+        return np.array([((label - p) * far).sum(), (p * (1 - p) * far**2).sum()])
+
     for _ in range(50):  # one-parameter logistic fit of the slope
-        p = 1 / (1 + np.exp(-np.clip(base + slope * (raw - cut), -30, 30)))
-        grad = ((labels - p) * (raw - cut)).sum() - 0.1 * slope
-        slope += np.clip(grad / ((p * (1 - p) * (raw - cut) ** 2).sum() + 0.1), -0.5, 0.5)
+        grad, bend = _total(raw, logistic, 2)
+        step = np.clip((grad - 0.1 * slope) / (bend + 0.1), -0.5, 0.5)
+        slope += step
+        if abs(step) < 1e-6:
+            break
+    release(raw)
     return Ranker(mean, scale, w, cut, max(slope, 0.05))
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    model = fit(*fit_sample(docs, labels, "quality", FOLDS, HELD, rows))
+    model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +251,7 @@ def quality_stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Each row is judged by its own text and passes or goes where it stands: no join, so null and repeated ids
     need no rule. Null and empty texts get the score of an empty text. Empty tables give empty results; without labels of both kinds all stay.
     """
-    model = fit(*fit_sample(docs, labels, "quality", FOLDS, HELD))
+    model = fit(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

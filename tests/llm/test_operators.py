@@ -385,3 +385,22 @@ def test_pipeline_stages(spark):
     ends = {r.doc_id: r.copies for r in left.collect()}
     assert ends == {r.doc_id: r.copies for r in corpus_pipeline.run(spark, sf).collect()}
     assert left.filter(F.col("copies") < 1).count() == 0
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """More labelled rows than ``labelled.FIT_ROWS``: all are counted, in blocks of both kinds, and the cut is their exact quantile."""
+    rng = random.Random(31)
+    kinds = [int(rng.random() < 0.7) for _ in range(9000)]
+    rows = [(i, words(rng, 12) + (" fine. Good, really." if k else " $$$ !!! ### 1234")) for i, k in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(list(enumerate(kinds)), "doc_id long, quality int")
+    used = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 5]
+    assert len(used) > labelled.FIT_ROWS and quality.labelled_features(docs, labels).count() == len(used)
+    made = quality.score_quality(docs, labels).collect()
+    assert sum(r.predicted == kinds[r.doc_id] for r in made) >= 0.99 * len(made)
+    values = np.round(np.random.default_rng(3).normal(size=4000), 2)
+    raw = spark.createDataFrame([(float(v), 0.0) for v in values], "raw double, label double")
+    monkeypatch.setattr(quality, "FEW", 10)
+    for k in (0, 1, 700, 2000, 3999, 4000):
+        ranked = np.sort(values)
+        assert quality._cut(raw, 4000, k) == (ranked[max(k - 1, 0)] + ranked[min(k, 3999)]) / 2

@@ -43,3 +43,37 @@ def test_line_dedup_opens_only_classes_with_candidates(spark, monkeypatch):
         assert {ids[r.line_id] for r in line_dedup._open(members).collect()} == {3, 17, 30, 103, 117, 130}
         links = line_dedup._apart(members, signed.select("line_id", "keys"), texts).collect()
         assert {tuple(sorted((ids[r.a], ids[r.b]))) for r in links} == {(3, 103), (17, 117), (30, 130)}
+
+
+def _generated(spark, run):
+    """What ``run`` gives, and the most rows that any generator made in it."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    made = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most = 0
+    for execution in _all(store.executionsList())[before:]:
+        values = store.executionMetrics(execution.executionId())
+        for node in _all(store.planGraph(execution.executionId()).allNodes()):
+            if node.name() == "Generate":
+                counts = [values.get(m.accumulatorId()) for m in _all(node.metrics()) if m.name() == "number of output rows"]
+                most = max([most, *(int(v.get().replace(",", "")) for v in counts if v.isDefined())])
+    return made, most
+
+
+def test_line_dedup_lists_an_open_class_once_a_bucket(spark, monkeypatch):
+    """Blocks of a large bucket that meet many others make no row for each class and meeting."""
+    monkeypatch.setattr(line_dedup, "SUB", 8)
+    n = 400  # 50 blocks of about 8, each two of which meet
+    members = spark.range(n).select(F.lit(1).cast("long").alias("bucket"), F.lit(n).cast("long").alias("n"), F.col("id").alias("line_id"), F.col("id").alias("root"), *[F.lit(0).cast("long").alias(c) for c in line_dedup.SKETCH])
+    left, most = _generated(spark, lambda: line_dedup._open(members))
+    assert sorted(r.line_id for r in left.collect()) == list(range(n))
+    assert n <= most <= 4 * n
+
+
+def test_line_dedup_keeps_open_classes_beyond_64_places(spark, monkeypatch):
+    """A block of more than 64 classes: all that have a candidate are open, wherever they stand in it."""
+    monkeypatch.setattr(line_dedup, "SUB", 500)
+    far = [F.when(F.col("id") < 400, F.xxhash64("id", F.lit(c))).otherwise(0).cast("long").alias(c) for c in line_dedup.SKETCH]
+    members = spark.range(402).select(F.lit(1).cast("long").alias("bucket"), F.lit(402).cast("long").alias("n"), F.col("id").alias("line_id"), F.col("id").alias("root"), *far)
+    assert {400, 401} <= {r.line_id for r in line_dedup._open(members).collect()}
